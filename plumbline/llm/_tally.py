@@ -29,7 +29,7 @@ def pack(a: np.ndarray) -> bytes:
 
 
 def unpack(b: bytes, dtype: type = np.int64) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
+    raw = np.frombuffer(bytearray(zstandard.ZstdDecompressor().decompress(b[1:])), np.uint8)
     return np.ascontiguousarray(raw.reshape(b[0], -1).T).reshape(-1).view(f"u{b[0]}" if b[0] < 8 else np.int64).astype(dtype)
 
 
@@ -42,8 +42,10 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def small(a: np.ndarray) -> np.ndarray:
-    """The same non-negative integers in the narrowest unsigned type."""
+    """The same integers in the narrowest unsigned type that holds them, else as int64."""
     top = int(a.max()) if len(a) else 0
+    if len(a) and a.min() < 0:
+        return a.astype(np.int64)
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.int64)
 
 
@@ -69,8 +71,8 @@ def answers(asked: DataFrame, reduce: Reduce) -> DataFrame:
 
     reduce(kind, group, vals) gets, for all entries of a bucket, the number of the distinct
     key that each stands for (0, 1, ... in key order) and the values; it returns answer
-    arrays with one entry per distinct key, and integers that describe the bucket as a whole,
-    which are sent once (as a row of block -1).
+    arrays with one value per entry, and integers that describe the bucket as a whole, which
+    are sent once (as a row of block -1).
     """
 
     def one(key: tuple, t: pa.Table) -> pa.Table:
@@ -88,8 +90,7 @@ def answers(asked: DataFrame, reduce: Reduce) -> DataFrame:
         got, whole = reduce(kind, group, cols)
         out, at = [], 0
         for b, n in zip(blocks, counts, strict=True):
-            g = group[at : at + n]
-            out.append({"block": b, "bucket": bucket, "kind": kind, "n": n, "keys": None, "vals": [pack(small(x[g])) for x in got]})
+            out.append({"block": b, "bucket": bucket, "kind": kind, "n": n, "keys": None, "vals": [pack(small(x[at : at + n])) for x in got]})
             at += n
         if whole:
             out.append({"block": -1, "bucket": bucket, "kind": kind, "n": 0, "keys": None, "vals": [pack(np.array([x], np.int64)) for x in whole]})
@@ -108,6 +109,15 @@ def sums(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.bincount(group, values, minlength=int(group.max()) + 1 if len(group) else 0).astype(np.int64)
 
 
+def finer(group: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Groups told apart by a second hash as well, where the first one has collided."""
+    first = np.zeros(int(group.max()) + 1 if len(group) else 0, np.int64)
+    first[group] = check
+    if (first[group] == check).all():
+        return group
+    return np.unique(np.stack([group, check]), axis=1, return_inverse=True)[1].reshape(-1)
+
+
 def minima(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(out, group, values)

@@ -53,7 +53,7 @@ def _count(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _total(kind: int, group: np.ndarray, vals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
     c = Q.sums(group, vals[0])
-    return [c], [int(c.sum()), int((c > 0).sum())] if kind == WORD else []
+    return [c[group]], [int(c.sum()), int((c > 0).sum())] if kind == WORD else []
 
 
 def _bin(x: np.ndarray) -> np.ndarray:
