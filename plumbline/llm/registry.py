@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import lm_score, substring_dedup
+from plumbline.llm import byte_dedup, lm_score, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_documents(spark, sf_dir))
 
 
+def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.digests(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op8_byte_dedup": op8_byte_dedup,
     "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {}
