@@ -56,11 +56,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("k"))
 
 
-def distinct_texts(docs: DataFrame, n: int) -> DataFrame:
+def blocks(spark: SparkSession) -> int:
+    """Blocks are smaller than partitions, as a pass holds several numbers for each of a block's words."""
+    return 2 * parts(spark)
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
     """One row per distinct text: block, k, m (its smallest doc_id), text.
 
     Copies are folded before the shuffle, so a text that fills a third of the rows sends one
     row per task.
     """
     reps = keyed(docs).groupBy("k").agg(F.min("doc_id").alias("m"), F.first("text").alias("text"))
-    return reps.select(F.pmod(F.xxhash64("k"), F.lit(n)).cast("int").alias("block"), "k", "m", "text")
+    return reps.select(F.pmod(F.xxhash64("k"), F.lit(blocks(docs.sparkSession))).cast("int").alias("block"), "k", "m", "text")

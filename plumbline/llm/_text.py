@@ -41,6 +41,8 @@ LOWER[65:91] += 32
 TABLE = _table(11)
 TABLE_LOWER = TABLE[LOWER]
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1)
+#: Keeps 48 bits of a hash, for questions where a chance collision only costs a second look.
+COARSE = U(0xFFFFFFFFFFFF0000)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -79,7 +79,7 @@ class Slice:
         """Name, first and past-the-last byte of each phrase, from a trigger to the end of the next."""
         one = np.flatnonzero(self.row[1:] == self.row[:-1]) if len(self.at) else np.zeros(0, np.int64)
         s, e = self.at[one], self.at[one + 1] + TRIGGER
-        return self.hash(s, e), s, e
+        return self.hash(s, e) & T.COARSE, s, e
 
     def alive(self, alone: np.ndarray) -> np.ndarray:
         """Starts of the strings that hold no phrase flagged as alone."""
@@ -299,13 +299,13 @@ def _figures(found: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans and kept (the remaining bytes) per row."""
     stage = Stage(docs.sparkSession, "bytes")
-    texts = stage.table("texts", distinct_texts(docs, parts(docs.sparkSession)))
+    texts = stage.table("texts", distinct_texts(docs))
     return per_document(docs, _figures(classes(texts, stage, length)), length)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: `dedup` with the bytes as digests before they are dealt out to copies."""
     stage = Stage(docs.sparkSession, "bytes")
-    texts = stage.table("texts", distinct_texts(docs, parts(docs.sparkSession)))
+    texts = stage.table("texts", distinct_texts(docs))
     found = _figures(classes(texts, stage)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("spans", "kept")
     return per_document(docs, found)

@@ -119,7 +119,7 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         h, off = T.word_hashes(*T.bytes_of(t["text"]), lower=False)
         sym, row, cs, ce = recompress(h, off, rounds)
         use = ce - cs <= window
-        return h, off, sym[use], row[use], cs[use], ce[use]
+        return h, off, sym[use] & T.COARSE, row[use], cs[use], ce[use]
 
     def ask_symbols(key: tuple, t: pa.Table) -> pa.Table:
         _, _, sym, row, _, _ = symbols(t)
@@ -195,13 +195,13 @@ def per_document(docs: DataFrame, found: DataFrame, value: str, emptied: F.Colum
 def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) per row."""
     stage = Stage(docs.sparkSession, "substring")
-    texts = stage.table("texts", distinct_texts(docs, parts(docs.sparkSession)))
+    texts = stage.table("texts", distinct_texts(docs))
     return per_document(docs, classes(texts, stage, window, rounds), "kept", F.lit(""), window)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: `dedup` with the texts as digests before they are dealt out to copies."""
     stage = Stage(docs.sparkSession, "substring")
-    texts = stage.table("texts", distinct_texts(docs, parts(docs.sparkSession)))
+    texts = stage.table("texts", distinct_texts(docs))
     found = classes(texts, stage).select("k", "m", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return per_document(docs, found, "kept_sha256", F.sha2(F.lit(""), 256))
