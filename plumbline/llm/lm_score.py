@@ -17,6 +17,8 @@ returns no rows. Without training tokens every probability is uniform over one t
 from __future__ import annotations
 
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
-from plumbline.llm._stage import Stage, parts
+from plumbline.llm._stage import Stage, blocks, parts
 
 END = T.mix(np.array([1], T.U))[0]
 WORD, PAIR = 1, 2
@@ -67,6 +69,16 @@ def _value(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, 2.0 ** ((b - BINS // 3) / PER_DOUBLING), 0.0)
 
 
+HISTOGRAM = "block int, codes binary, counts binary"
+
+
+def _packed(block: int, code: np.ndarray, count: np.ndarray) -> pa.Table:
+    """A histogram as one row."""
+    code, inv = np.unique(code, return_inverse=True)
+    count = np.bincount(inv, count, minlength=len(code)).astype(np.int64)
+    return pa.table({"block": pa.array([block], pa.int32()), "codes": [Q.pack(Q.small(code))], "counts": [Q.pack(Q.small(count))]})
+
+
 def fit_weights(rows: list[tuple[int, int, int, float]], steps: int = 50) -> dict[int, tuple[float, float, float]]:
     """Mixture weights (bigram, word, uniform) by context bucket from (bucket, bins, bins, count)."""
     out = {}
@@ -98,7 +110,7 @@ def score(docs: DataFrame, train: str = "train", stage: Stage | None = None) ->
     stage = stage or Stage(spark, "lm")
     n = parts(spark)
     rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block"), "doc_id",
+        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks(spark))).cast("int").alias("block"), "doc_id",
         F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
@@ -113,7 +125,7 @@ def score(docs: DataFrame, train: str = "train", stage: Stage | None = None) ->
     told = stage.table("counts", Q.answers(rows.groupBy("block").applyInArrow(ask, Q.ASK), _total))
     whole = [(r.vals[0], r.vals[1]) for r in told.filter("block = -1").select("vals").collect()]  # one row a bucket
     total, types = (sum(int(Q.unpack(bytes(x[i]))[0]) for x in whole) for i in (0, 1))
-    told = told.filter("block >= 0").repartition(n, "block")
+    told = told.filter("block >= 0")
 
     def looked_up(t: pa.Table, r: pa.Table) -> tuple:
         tok, pair, off = _tokens(t)
@@ -142,12 +154,17 @@ def score(docs: DataFrame, train: str = "train", stage: Stage | None = None) ->
             two = np.where(left > 0, (both - own[1]) / np.maximum(left, 1), 0.0)
         one = (word - own[0]) / max(1, total)
         code = ((_bucket(np.maximum(left, 0)) * BINS + _bin(np.maximum(two, 0) / flat)) * BINS + _bin(np.maximum(one, 0) / flat))[learn]
-        code, c = np.unique(code, return_counts=True)
-        return pa.table({"b": code // BINS**2, "b2": code // BINS % BINS, "b1": code % BINS, "c": c.astype(np.int64)})
+        return _packed(key[0].as_py(), code, np.ones(len(code), np.int64))
+
+    def merged(key: tuple, t: pa.Table) -> pa.Table:
+        got = [(Q.unpack(a), Q.unpack(b)) for a, b in zip(t["codes"].to_pylist(), t["counts"].to_pylist(), strict=True)]
+        return _packed(key[0].as_py(), np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got]))
 
     grouped = rows.groupBy("block").cogroup(told.groupBy("block"))
-    hist = grouped.applyInArrow(histogram, "b long, b2 long, b1 long, c long").groupBy("b", "b2", "b1").agg(F.sum("c").alias("c"))
-    weights = fit_weights([tuple(r) for r in hist.collect()])  # at most 64 x BINS x BINS rows, whatever the input
+    # blocks' histograms are merged in as many groups as each has members; the driver merges the groups', of bounded size
+    slot = F.pmod("block", F.lit(math.isqrt(blocks(spark)) + 1)).alias("slot")
+    hist = grouped.applyInArrow(histogram, HISTOGRAM).groupBy(slot).applyInArrow(merged, HISTOGRAM).collect()
+    weights = fit_weights([(c // BINS**2, c // BINS % BINS, c % BINS, x) for r in hist for c, x in zip(Q.unpack(bytes(r.codes)), Q.unpack(bytes(r.counts)), strict=True)])
     table = np.array([weights.get(b, (0.0, 0.5, 0.5)) for b in range(66)])
 
     def scored(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
