@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_dedup, lm_score, ngram_join, substring_dedup
+from plumbline.llm import byte_dedup, lm_score, ngram_join, packing, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_documents(spark, sf_dir))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.pack(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup.digests(_documents(spark, sf_dir))
 
@@ -39,6 +50,7 @@ def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_packing": op7_packing,
     "op8_byte_dedup": op8_byte_dedup,
     "op10_lm_score": op10_lm_score,
 }
