@@ -178,6 +178,7 @@ def classes(texts: DataFrame, stage: Stage, length: int = LENGTH) -> DataFrame:
         return Q.replies(r, PHRASE)[inv] == 0
 
     def ask_frames(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        t = t.sort_by("k")  # flags of phrases are kept for later passes, where rows may come in another order
         lone = lone_phrases(t, r)
         got = live_frames(t, lone)
         core, frame = _cat([x[5] for x in got], T.U), _cat([x[6] for x in got], T.U)
@@ -229,6 +230,7 @@ def classes(texts: DataFrame, stage: Stage, length: int = LENGTH) -> DataFrame:
         return keys, doc, at
 
     def ask_strings(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
         uniq, doc, at, _ = _first(*strings(t, split(t, r)))
         return Q.table_of(list(Q.asks(key[0].as_py(), STRING, uniq, [doc, at], n)))
 
@@ -236,6 +238,7 @@ def classes(texts: DataFrame, stage: Stage, length: int = LENGTH) -> DataFrame:
         return list(_earliest(group, vals[0], vals[1])), []
 
     def remove(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
         got = split(t, r)
         keys, own, place = strings(t, got)
         _, inv = np.unique(keys, return_inverse=True)

@@ -137,6 +137,7 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         return [(Q.sums(group, vals[0]) > 1)[group].astype(np.int64)], []
 
     def ask_windows(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        t = t.sort_by("k")  # places of windows are kept for the last pass, where rows may come in another order
         h, off, sym, row, cs, ce = symbols(t)
         _, inv = np.unique(sym, return_inverse=True)
         alone = Q.replies(r, SYMBOL)[inv] == 0
@@ -160,6 +161,7 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         return [Q.minima(group, vals[0])[group]], []
 
     def remove(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
         buf, byte_off = T.bytes_of(t["text"])
         h, off = T.word_hashes(buf, byte_off, lower=False)
         alive = np.unpackbits(Q.replies(r, ALIVE).astype(np.uint8), count=len(h)).astype(bool) if len(h) else np.zeros(0, bool)
