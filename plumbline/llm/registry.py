@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_dedup, lm_score, ngram_join, packing, substring_dedup
+from plumbline.llm import byte_dedup, langid, lm_score, media, ngram_join, packing, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(_fold(4) != 2))
+    got = langid.identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(_documents(spark, sf_dir))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -50,6 +61,8 @@ def op8_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_byte_dedup": op8_byte_dedup,
     "op10_lm_score": op10_lm_score,
