@@ -12,7 +12,7 @@ leading bits of the hash). Two sets share at most the sum of their points' coord
 3. Keys that still hold texts of several components are searched by count-vector R-trees: the
    texts are dealt to cells of bounded size, each cell packs its points into a tree whose nodes
    know their greatest coordinates and least size, and texts descend where the bound allows a
-   link with another component. Surviving pairs are verified, and components formed again.
+   link. Surviving pairs of different components are verified, and components formed again.
 
 Pairs in one component need no comparison, so a group of copies costs a pass over its members
 and not over its pairs; no pair that could join two components is left out.
@@ -149,23 +149,32 @@ def links(found: DataFrame, stage: Stage, percent: int) -> DataFrame:
     dealt = named.join(open_.select("key", "size", F.col("c0").alias("main")), "key").withColumn("cells", F.ceil(F.col("size") / CELL))
     own = F.pmod(F.xxhash64("m", "key"), F.col("cells"))
     cell = dealt.withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))))
-    cell = cell.join(texts.select("m", "s", "pt"), "m").select("key", "cell", "m", "comp", "main", "s", "pt")
+    cell = cell.join(texts.select("m", "s", "sh"), "m").select("key", "cell", "m", "comp", "main", "s", "sh")
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
+        """Verified links between components, one for each two that meet in this cell."""
         t = t.sort_by("m")
         m, comp_, main, s = (t[c].to_numpy() for c in ("m", "comp", "main", "s"))
-        pts = np.stack([np.frombuffer(p, np.int32) for p in t["pt"].to_pylist()])
-        tree = Tree(pts, s, percent)
+        own = [np.frombuffer(x, T.U) for x in t["sh"].to_pylist()]
+        tree = Tree(np.stack([point(x) for x in own]), s, percent)
+        root = {c: c for c in np.unique(comp_).tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
         a, b = [], []
         for i in np.flatnonzero(comp_ != main).tolist():
-            hit = tree.search(pts[i], int(s[i]))
-            hit = hit[(comp_[hit] != comp_[i]) & ((m[hit] < m[i]) | (comp_[hit] == main[hit]))]
-            a += [int(m[i])] * len(hit)
-            b += m[hit].tolist()
+            for j in tree.search(point(own[i]), int(s[i])).tolist():
+                x, y = top(int(comp_[i])), top(int(comp_[j]))
+                if x != y and len(np.intersect1d(own[i], own[j], assume_unique=True)) >= needed(s[i], s[j], percent):
+                    root[max(x, y)] = min(x, y)
+                    a.append(int(m[i]))
+                    b.append(int(m[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = cell.groupBy("key", "cell").applyInArrow(search, "a long, b long").distinct()
-    extra = stage.table("links-tree", verified(more, texts, percent))
+    extra = stage.table("links-tree", cell.groupBy("key", "cell").applyInArrow(search, "a long, b long").distinct())
     if not extra.limit(1).count():
         return comp
     return components(root.unionByName(extra), stage, "all")
