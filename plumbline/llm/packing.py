@@ -27,57 +27,28 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
+from plumbline.llm._memo import Memo
 from plumbline.llm._stage import Stage, parts
 
 LENGTH, CLOSE = 4096, 2
 DIMENSIONS, BITS = 3, 10
-#: Distinct words whose ids a Python worker remembers at most.
-REMEMBER = 500_000
 
 
 class Words:
-    """Token ids of words; a tokenizer that splits at white space is asked once per distinct word."""
+    """Token ids of texts by a tokenizer that splits at white space: it is asked once per distinct word."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.size: list[np.ndarray] = []
-        self.used = 0
+        self.memo = Memo(lambda spans: [x.ids for x in self.tokenizer.encode_batch_fast([b.decode("utf-8", "replace") for b in spans], add_special_tokens=False)])
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the rows' offsets among them."""
         s, e, w = T.words(buf, off)
-        uniq, first, inv = np.unique(T.span_hash(T.TABLE[buf], s, e), return_index=True, return_inverse=True)
-        if len(self.slot) > REMEMBER:
-            self.forget()
-        names = uniq.tolist()
-        at = np.fromiter((self.slot.get(x, -1) for x in names), np.int64, len(names))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            raw = buf.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self.slot.update(zip(uniq[new].tolist(), range(self.used, self.used + len(new)), strict=True))
-            at[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-            self.size.append(np.fromiter(map(len, got), np.int64, len(got)))
-            self.ids.append(np.fromiter((i for x in got for i in x), np.uint32))
-            if len(self.ids) > 1:
-                self.size, self.ids = [np.concatenate(self.size)], [np.concatenate(self.ids)]
-        if not len(s):
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        size, ids = self.size[0], self.ids[0]
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        use = at[inv]
-        ends = np.concatenate(([0], np.cumsum(size[use])))
-        return ids[T.ranges(start[use], size[use])], ends[w]
+        ids, at = self.memo.ids_of(buf, s, e)
+        return ids, at[w]
 
 
 _words: dict[str, Words] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, byte_dedup, langid, lm_score, media, ngram_join, packing, substring_dedup
+from plumbline.llm import ann, byte_dedup, langid, lm_score, media, ngram_join, packing, pieces, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,12 @@ def _fold(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocabulary("piece_bpe_32k.model")
+    got = pieces.decode(pieces.encode(_documents(spark, sf_dir), path), path)
+    return got.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("decoded_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text").withColumn("train", F.coalesce(_fold(10) != 0, F.lit(True)))
     got = lm_score.score(docs)
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_byte_dedup": op8_byte_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {}
