@@ -13,8 +13,9 @@ REMEMBER = 500_000
 
 
 class Memo:
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], table: np.ndarray = T.TABLE) -> None:
+        """``table`` hashes bytes; spans that it hashes alike must have the same ids."""
+        self.encode, self.table = encode, table
         self.forget()
 
     def forget(self) -> None:
@@ -23,7 +24,7 @@ class Memo:
 
     def ids_of(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all spans one after another, and the offsets of each span's."""
-        uniq, first, inv = np.unique(T.span_hash(T.TABLE[buf], s, e), return_index=True, return_inverse=True)
+        uniq, first, inv = np.unique(T.span_hash(self.table[buf], s, e), return_index=True, return_inverse=True)
         if len(self.slot) > REMEMBER:
             self.forget()
         at = np.fromiter(map(self.slot.get, uniq.tolist(), [-1] * len(uniq)), np.int64, len(uniq))

@@ -34,21 +34,54 @@ LENGTH, CLOSE = 4096, 2
 DIMENSIONS, BITS = 3, 10
 
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII characters that no token of a word tokenizer joins with a letter beside them; an apostrophe may start a token.
+APART = ~LETTER & ~T.SPACE & (np.arange(256) < 128) & (np.arange(256) != 39)
+
+
 class Words:
-    """Token ids of texts by a tokenizer that splits at white space: it is asked once per distinct word."""
+    """Token ids of texts by a lower-casing tokenizer that splits at white space and around letters.
+
+    It is asked once per distinct stretch: a word, cut where an ASCII letter and another ASCII
+    character meet. Stretches are asked for in groups, with a special token between them.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(lambda spans: [x.ids for x in self.tokenizer.encode_batch_fast([b.decode("utf-8", "replace") for b in spans], add_special_tokens=False)])
+        special = min(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark, self.between = special[0], special[1].content
+        self.memo = Memo(self.ask, T.TABLE_LOWER)
+
+    def ask(self, spans: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for lo in range(0, len(spans), 8192):
+            texts = [b.decode("utf-8", "replace") for b in spans[lo : lo + 8192]]
+            for x in self.tokenizer.encode_batch_fast([self.between.join(texts[i : i + 16]) for i in range(0, len(texts), 16)], add_special_tokens=False):
+                ids, at = x.ids, 0
+                while self.mark in ids[at:]:
+                    end = ids.index(self.mark, at)
+                    out.append(ids[at:end])
+                    at = end + 1
+                out.append(ids[at:])
+        return out
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the rows' offsets among them."""
-        s, e, w = T.words(buf, off)
+        s, e, _ = T.words(buf, off)
+        if not len(s):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        letter, apart = LETTER[buf], APART[buf]
+        first, last = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+        first[1:] = letter[1:] & apart[:-1] | apart[1:] & letter[:-1]
+        first[off[(off > 0) & (off < len(buf))]] = False
+        last[:-1] = first[1:]
+        first[s], last[e - 1] = True, True
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         ids, at = self.memo.ids_of(buf, s, e)
-        return ids, at[w]
+        return ids, at[np.searchsorted(s, off)]
 
 
 _words: dict[str, Words] = {}
