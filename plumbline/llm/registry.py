@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, byte_dedup, langid, lm_score, media, ngram_join, packing, pieces, substring_dedup
+from plumbline.llm import ann, byte_dedup, html_text, langid, lm_score, media, ngram_join, packing, pieces, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_documents(spark, sf_dir))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(_fold(4) != 2))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html_text": op4_html_text,
     "op5_language_id": op5_language_id,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
