@@ -61,6 +61,11 @@ def blocks(spark: SparkSession) -> int:
     return 2 * parts(spark)
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets of a tally hold several partitions' worth of keys: blocks x buckets rows pass between them."""
+    return (parts(spark) + 1) // 2
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """One row per distinct text: block, k, m (its smallest doc_id), text.
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
-from plumbline.llm._stage import Stage, distinct_texts, keyed, parts
+from plumbline.llm._stage import Stage, buckets, distinct_texts, keyed
 from plumbline.llm.substring_dedup import LAST, _order
 
 LENGTH, TRIGGER, MODULUS = 100, 8, 16
@@ -148,7 +148,7 @@ def _cat(parts_: list[np.ndarray], dtype: type = np.int64) -> np.ndarray:
 
 def classes(texts: DataFrame, stage: Stage, length: int = LENGTH) -> DataFrame:
     """Per distinct text: k, m, n_bytes, spans (removed [start, end) pairs, flat), kept, for its smallest doc_id m."""
-    n = parts(texts.sparkSession)
+    n = buckets(texts.sparkSession)
 
     def ask_phrases(key: tuple, t: pa.Table) -> pa.Table:
         uniq, c = np.unique(_cat([s.phrases()[0] for _, _, s in _slices(t, length)], T.U), return_counts=True)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
-from plumbline.llm._stage import Stage, blocks, parts
+from plumbline.llm._stage import Stage, blocks, buckets
 
 END = T.mix(np.array([1], T.U))[0]
 WORD, PAIR = 1, 2
@@ -108,7 +108,7 @@ def score(docs: DataFrame, train: str = "train", stage: Stage | None = None) ->
     """
     spark = docs.sparkSession
     stage = stage or Stage(spark, "lm")
-    n = parts(spark)
+    n = buckets(spark)
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks(spark))).cast("int").alias("block"), "doc_id",
         F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
 from plumbline.llm._graph import components
-from plumbline.llm._stage import Stage, distinct_texts, keyed, parts
+from plumbline.llm._stage import Stage, buckets, distinct_texts, keyed
 
 SHINGLE = 1
 GROUPS, FANOUT, CELL = 64, 16, 256
@@ -84,7 +84,7 @@ class Tree:
 
 def sets(texts: DataFrame, stage: Stage, size: int, percent: int) -> DataFrame:
     """Per distinct text k, m, s (its shingles' number); where it may link also sh, pt and keys."""
-    n = parts(texts.sparkSession)
+    n = buckets(texts.sparkSession)
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         uniq, c = np.unique(shingles(t, size)[0] & T.COARSE, return_counts=True)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
-from plumbline.llm._stage import Stage, distinct_texts, keyed, parts
+from plumbline.llm._stage import Stage, buckets, distinct_texts, keyed
 
 WINDOW, ROUNDS = 50, 5
 SYMBOL, PASSAGE, ALIVE = 1, 2, 3
@@ -113,7 +113,7 @@ def _rejoined(buf: np.ndarray, off: np.ndarray, keep: np.ndarray) -> list[bytes]
 
 def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Per distinct text: k, m, n_words, n_removed and kept, for its smallest doc_id m."""
-    n = parts(texts.sparkSession)
+    n = buckets(texts.sparkSession)
 
     def symbols(t: pa.Table) -> tuple:
         h, off = T.word_hashes(*T.bytes_of(t["text"]), lower=False)
