@@ -207,3 +207,20 @@ def digests(docs: DataFrame) -> DataFrame:
     texts = stage.table("texts", distinct_texts(docs))
     found = classes(texts, stage).select("k", "m", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return per_document(docs, found, "kept_sha256", F.sha2(F.lit(""), 256))
+
+
+def replaced(docs: DataFrame, column: str, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """docs with the texts of ``column`` after removal; texts that lose nothing stay as they are, those that lose all go."""
+    stage = Stage(docs.sparkSession, "substring")
+    own = docs.select("doc_id", F.col(column).alias("text"))
+    texts = stage.table("texts", distinct_texts(own))
+    # a text has lost words only if it is in here; copies of a text are told by the join
+    found = classes(texts, stage, window, rounds).select(
+        F.col("k").alias("_k"), F.col("m").alias("_m"), F.col("n_words").alias("_n"), F.col("n_removed").alias("_gone"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("_kept"))
+    found = stage.table("found", found.filter((F.col("_gone") > 0) | (F.col("_n") >= window)))
+    key = F.unhex(F.md5(F.coalesce(F.col(column), F.lit(""))))
+    both = docs.join(found, key == F.col("_k"), "left")
+    copy = (F.col("_n") >= window) & F.col("_m").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_m")))
+    left = both.filter(~F.coalesce(copy | (F.col("_gone") == F.col("_n")), F.lit(False)))
+    text = F.when(F.coalesce(F.col("_gone") > 0, F.lit(False)), F.col("_kept")).otherwise(F.col(column))
+    return left.withColumn(column, text).select(*docs.columns)
