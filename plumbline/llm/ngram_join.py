@@ -9,10 +9,10 @@ leading bits of the hash). Two sets share at most the sum of their points' coord
    miss; two texts that link share a key.
 2. At the root, every key routes its texts to its smallest doc_id. Pairs that pass the bound
    are verified on their whole sets, and connected components are formed.
-3. Keys that still hold texts of several components are searched by count-vector R-trees: the
-   texts are dealt to cells of bounded size, each cell packs its points into a tree whose nodes
-   know their greatest coordinates and least size, and texts descend where the bound allows a
-   link. Surviving pairs of different components are verified, and components formed again.
+3. Texts that share a root, but not a component, are searched by count-vector R-trees: they
+   are dealt to cells, each cell packs its points into a tree whose nodes know their greatest
+   coordinates and least size, and texts descend where the bound allows a link. Surviving
+   pairs of different components are verified, and components formed again.
 
 Pairs in one component need no comparison, so a group of copies costs a pass over its members
 and not over its pairs; no pair that could join two components is left out.
@@ -137,19 +137,20 @@ def links(found: DataFrame, stage: Stage, percent: int) -> DataFrame:
     """node, comp: the texts that link with others, by their documents' smallest ids."""
     texts = found.filter("keys is not null and m is not null")
     member = stage.table("members", texts.select("m", "s", F.explode("keys").alias("key")))
-    group = member.groupBy("key").agg(F.min("m").alias("rep"), F.count("*").alias("size")).filter("size > 1")
-    pairs = member.join(group.select("key", "rep"), "key").filter("m != rep").select(F.col("m").alias("a"), F.col("rep").alias("b")).distinct()
+    group = member.groupBy("key").agg(F.min("m").alias("rep"), F.count("*").alias("size")).filter("size > 1").select("key", "rep")
+    pairs = stage.table("pairs", member.join(group, "key").filter("m != rep").select(F.col("m").alias("a"), F.col("rep").alias("b")).distinct())
+    stage.drop("members")
     root = stage.table("links-root", verified(pairs, texts, percent))
     comp = components(root, stage, "root")
 
-    named = member.join(comp, F.col("m") == F.col("node"), "left").select("key", "m", F.coalesce("comp", "m").alias("comp"))
-    open_ = named.join(group, "key").filter("m != rep").groupBy("key").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("size").alias("size"), F.first("rep").alias("rep")).filter("c0 != c1")
-    # the component of the key's root holds most of a group of copies: its texts stay in one cell, others visit every cell
-    dealt = named.join(open_.select("key", "size", F.col("c0").alias("main")), "key").withColumn("cells", F.ceil(F.col("size") / CELL))
-    own = F.pmod(F.xxhash64("m", "key"), F.col("cells"))
-    cell = dealt.withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))))
-    cell = cell.join(texts.select("m", "s", "sh"), "m").select("key", "cell", "m", "comp", "main", "s", "sh")
+    label = lambda x, c: comp.select(F.col("node").alias(x), F.col("comp").alias(c))
+    named = pairs.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("comp"), F.coalesce("cb", "b").alias("main"))
+    open_ = named.groupBy("b").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / CELL).alias("cells")).filter("c0 != c1").select("b", "cells")
+    # the root's component holds most of a group of copies: its texts stay in one cell, others visit every cell
+    own = F.pmod(F.xxhash64("a", "b"), F.col("cells"))
+    visits = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    cell = named.join(open_, "b").select("b", F.explode(visits).alias("cell"), F.col("a").alias("m"), "comp", "main")
+    cell = cell.join(texts.select("m", "s", "sh"), "m").select("b", "cell", "m", "comp", "main", "s", "sh")
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
         """Verified links between components, one for each two that meet in this cell."""
@@ -174,7 +175,7 @@ def links(found: DataFrame, stage: Stage, percent: int) -> DataFrame:
                     b.append(int(m[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    extra = stage.table("links-tree", cell.groupBy("key", "cell").applyInArrow(search, "a long, b long").distinct())
+    extra = stage.table("links-tree", cell.groupBy("b", "cell").applyInArrow(search, "a long, b long").distinct())
     if not extra.limit(1).count():
         return comp
     return components(root.unionByName(extra), stage, "all")
