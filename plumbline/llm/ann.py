@@ -166,14 +166,22 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES,
             qid = queries_["query_id"].to_numpy()
             y = np.stack([np.frombuffer(r, np.float64) for r in queries_["q"].to_pylist()])
             for lo in range(0, len(qid), 256):
-                score = dot(y[lo : lo + 256], x)
-                score[qid[lo : lo + 256, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(score, best, 1)
-                keep = np.isfinite(got)
-                q.append(np.repeat(qid[lo : lo + 256], keep.sum(1)))
-                v.append(ids[best][keep])
-                s.append(got[keep])
+                part, own = y[lo : lo + 256], qid[lo : lo + 256]
+                rough = part @ x.T
+                rough[own[:, None] == ids[None, :]] = -np.inf
+                # what may be among the k nearest, by a product whose last bits depend on the block; then exactly
+                edge = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(part), -np.inf)
+                edge = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -1e300)
+                i, j = np.nonzero(rough >= edge[:, None])
+                score = np.zeros(len(i))
+                for d in range(dim):
+                    score += part[i, d] * x[j, d]
+                best = np.lexsort((ids[j], -score, i))
+                i, j, score = i[best], j[best], score[best]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                q.append(own[i[keep]])
+                v.append(ids[j[keep]])
+                s.append(score[keep])
         return pa.table({"query_id": np.concatenate(q), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
 
     near = inside.groupBy("leaf", "cell").cogroup(visits.groupBy("leaf", "cell")).applyInArrow(meet, "query_id long, vec_id long, score double")
