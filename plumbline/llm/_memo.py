@@ -9,7 +9,7 @@ import numpy as np
 from plumbline.llm import _text as T
 
 #: Distinct spans that a worker remembers at most.
-REMEMBER = 500_000
+REMEMBER = 250_000
 
 
 class Memo:

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that one numpy pass takes at a time; a longer single text makes a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,9 +9,9 @@ weight: the tokens that merging by rank would give. For unigram models arcs weig
 negative log-probabilities. Composed with an input, the machine is searched for the shortest
 path in the tropical semiring, lazily: arcs are expanded where a path arrives.
 
-A piece mark never stands inside a piece after another character, and a character that no
-piece holds never merges, so texts fall apart at such places; paths are remembered per
-distinct segment.
+No path runs across a place whose two characters stand side by side in no piece, nor, as marks
+only begin pieces, across the front of a run of marks: texts fall apart there, and paths are
+remembered per distinct segment.
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the mark that the
 normaliser has put before the text. For models with the identity normaliser the text returns
@@ -42,6 +42,8 @@ BPE, UNIGRAM = 2, 1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: What a byte-fallback arc weighs for each byte, and a piece arc of a byte-pair model.
 FALLBACK, PIECE = 1e6, 1.0
+#: Pairs of pieces whose arc a worker remembers at most.
+PAIRS = 300_000
 
 
 class Machine:
@@ -75,12 +77,20 @@ class Machine:
                     self.final.append(-1)
                 at = nxt
             self.final[at] = i
+        if any(MARK in t.lstrip(MARK) for t in self.id):
+            raise ValueError("only models whose marks begin pieces are compiled")
         self.run = {t: i for t, i in self.id.items() if set(t) == {MARK}}
-        #: Control characters stand alone, unless a piece holds one among others.
-        self.alone = not any(len(t) > 1 and min(t) < " " for t in self.id)
+        #: Whether two characters stand side by side in a piece, for ASCII characters (the mark as a space); others may.
+        self.joins = np.ones((256, 256), bool)
+        self.joins[:128, :128] = False
+        for t in self.id:
+            t = t.replace(MARK, " ")
+            for x, y in zip(t, t[1:]):
+                if x < "\x80" and y < "\x80":
+                    self.joins[ord(x), ord(y)] = True
         self.longest_run = max(map(len, self.run), default=1)
         self.split: dict[str, tuple[str, str]] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.edge: dict[int, tuple] = {}
 
     def rank(self, text: str) -> float:
@@ -118,8 +128,11 @@ class Machine:
 
     def allowed(self, a: int, b: int) -> bool:
         """Whether merging leaves piece b right after piece a."""
-        got = self.follows.get((a, b))
+        key = a * len(self.piece) + b
+        got = self.follows.get(key)
         if got is None:
+            if len(self.follows) > PAIRS:
+                self.follows.clear()
             left, right = self.edge.get((a, 1)), self.edge.get((b, 0))
             if left is None:
                 left = self.edge[a, 1] = self.spine(a, True)
@@ -138,7 +151,7 @@ class Machine:
                     i += 1
                 else:
                     j += 1
-            self.follows[a, b] = got
+            self.follows[key] = got
         return got
 
     def shortest(self, text: str) -> list[int]:
@@ -184,25 +197,47 @@ class Machine:
                     heapq.heappush(queue, (total, -end, i, order))
         raise ValueError("no path")
 
-    def straight(self, text: str) -> list[int] | None:
-        """The same path where it is reached by always taking the longest arc that can go on; None where it must turn back."""
-        out, at, last, n = [], 0, -1, len(text)
-        trie, final, follows = self.trie, self.final, self.follows
-        while at < n:
-            node, end, best, stop = 0, at, -1, at
-            while end < n:
-                node = trie[node].get(text[end], -1)
+    def deep(self, text: str) -> list[int] | None:
+        """The same path of a byte-pair machine, depth first: only one path has a finite weight, so the first that arrives is it.
+
+        Long arcs come first, as they mostly go on; states that led nowhere are not entered
+        again. None where a character needs fallback arcs.
+        """
+        trie, final, follows, size, n = self.trie, self.final, self.follows, len(self.piece), len(text)
+
+        def arcs(at: int) -> list[tuple[int, int]]:
+            node, out = 0, []
+            while at < n:
+                node = trie[node].get(text[at], -1)
                 if node < 0:
                     break
-                end += 1
-                i = final[node]
-                if i >= 0 and (last < 0 or (follows[last, i] if (last, i) in follows else self.allowed(last, i))):
-                    best, stop = i, end
-            if best < 0:
-                return None
-            out.append(best)
-            at, last = stop, best
-        return out
+                at += 1
+                if final[node] >= 0:
+                    out.append((at, final[node]))
+            return out
+
+        todo, ids, ends, dead = [arcs(0)], [], [0], set()
+        while todo:
+            left, last = todo[-1], ids[-1] if ids else -1
+            while left:
+                end, i = arc = left.pop()
+                if last >= 0:
+                    ok = follows.get(last * size + i)
+                    if not (self.allowed(last, i) if ok is None else ok):
+                        continue
+                if arc in dead:
+                    continue
+                ids.append(i)
+                if end == n:
+                    return ids
+                ends.append(end)
+                todo.append(arcs(end))
+                break
+            else:
+                todo.pop()
+                if ids:
+                    dead.add((ends.pop(), ids.pop()))
+        return None
 
     def encode(self, span: bytes) -> list[int]:
         """Ids of a segment: marks (written as spaces), then other characters."""
@@ -213,7 +248,7 @@ class Machine:
         marks = len(word) - len(body)
         # all merges of marks come last and leftmost first: a run takes its longest pieces from the left
         text = (MARK if marks and body else "") + body
-        ids = (self.straight(text) or self.shortest(text)) if text else []
+        ids = (self.deep(text) or self.shortest(text)) if text else []
         extra = marks - bool(marks and body)
         if extra and ids and self.piece[ids[0]] == MARK:
             extra, ids = extra + 1, ids[1:]
@@ -235,15 +270,13 @@ def machine(path: str) -> tuple[Machine, Memo]:
     return _machines[path]
 
 
-def segments(buf: np.ndarray, off: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all rows' segments and the rows' offsets among them."""
+def segments(buf: np.ndarray, off: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all rows' segments, cut where no piece can reach across, and the rows' offsets among them."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    control, space = (buf < 32) & alone, buf == 32
-    first = np.zeros(len(buf), bool)
+    first = np.ones(len(buf), bool)
+    first[1:] = ~joins[buf[:-1], buf[1:]] | (buf[1:] == 32) & (buf[:-1] != 32)
     first[off[:-1][off[:-1] < off[1:]]] = True
-    first |= control
-    first[1:] |= control[:-1] | (space[1:] & ~space[:-1])
     s = np.flatnonzero(first)
     return s, np.append(s[1:], len(buf)), np.searchsorted(s, off)
 
@@ -260,7 +293,7 @@ def encode_rows(path: str, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
         full = np.diff(off) > 0
         buf = np.insert(buf, off[:-1][full], 32)
         off = off + np.concatenate(([0], np.cumsum(full)))
-    s, e, w = segments(buf, off, m.alone)
+    s, e, w = segments(buf, off, m.joins)
     ids, at = memo.ids_of(buf, s, e)
     return ids, at[w]
 

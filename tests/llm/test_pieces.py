@@ -39,13 +39,12 @@ def test_odd_texts_by_library(make_docs, library):
         assert bytes(r.decoded).decode() == t.replace(pieces.MARK, " ")
 
 
-def test_lazy_search_and_straight_walk_agree():
+def test_both_searches_agree():
     m, _ = pieces.machine(registry._vocabulary("piece_bpe_32k.model"))
     rnd = random.Random(1)
     for _ in range(500):
         w = pieces.MARK + "".join(rnd.choice(["the", "ing", "er", "on", "th", "x", "q", "é"]) for _ in range(rnd.randrange(1, 6)))
-        fast = m.straight(w)
-        assert fast is None or fast == m.shortest(w)
+        assert m.deep(w) == m.shortest(w)
 
 
 def test_empty(make_docs):
