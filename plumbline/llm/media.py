@@ -19,6 +19,7 @@ raises an error.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -81,11 +82,19 @@ def cuts(data: bytes) -> list[int]:
 FILE = "k binary, n_bytes long, media_sha256 string, digests array<binary>, parts array<binary>"
 
 
-def _files(level: int):
-    """Rows as files: their chunks' digests, and at a level above 0 their chunks, compressed."""
+def squeeze(part: bytes) -> bytes:
+    """A chunk in the smaller of two compressed forms; each begins with its own sign."""
+    return min(zstandard.ZstdCompressor(level=9).compress(part), bz2.compress(part, 9), key=len)
+
+
+def expand(chunk: bytes) -> bytes:
+    return bz2.decompress(chunk) if chunk[:3] == b"BZh" else zstandard.ZstdDecompressor().decompress(chunk)
+
+
+def _files(chunks: bool):
+    """Rows as files: their chunks' digests and, if asked, their chunks, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=max(1, level))
         for batch in batches:
             buf, off = T.bytes_of(batch.column("text"))
             keys = batch.column("k").to_pylist()
@@ -96,7 +105,7 @@ def _files(level: int):
                     media = encode(payload(text))
                     ends = cuts(media)
                     parts = [media[a:b] for a, b in zip([0, *ends], ends)]
-                    row = (keys[i], len(text), hashlib.sha256(media).hexdigest(), [hashlib.sha256(x).digest()[:16] for x in parts], [squeeze.compress(x) for x in parts] if level else None)
+                    row = (keys[i], len(text), hashlib.sha256(media).hexdigest(), [hashlib.sha256(x).digest()[:16] for x in parts], [squeeze(x) for x in parts] if chunks else None)
                     for c, v in zip(out, row, strict=True):
                         out[c].append(v)
                 yield pa.RecordBatch.from_pydict({
@@ -106,16 +115,16 @@ def _files(level: int):
     return run
 
 
-def store(docs: DataFrame, stage: Stage, level: int = 9) -> DataFrame:
+def store(docs: DataFrame, stage: Stage) -> DataFrame:
     """The store: k, n_bytes, media_sha256, own (chunks, null where shared), refs (place, digest), lent (digest, chunk)."""
     texts = keyed(docs).select("k", "text")
-    place = texts.mapInArrow(_files(0), FILE).select("k", F.posexplode("digests").alias("place", "digest")).distinct()
+    place = texts.mapInArrow(_files(False), FILE).select("k", F.posexplode("digests").alias("place", "digest")).distinct()
     at = F.struct("k", "place")
     shared = place.groupBy("digest").agg(F.min(at).alias("owner"), F.max(at).alias("last")).filter("owner != last").select("digest", "owner")
     marks = place.join(shared, "digest").groupBy("k").agg(F.collect_list(F.struct("place", "digest", (F.col("owner") == at).alias("lends"))).alias("marks"))
     marks = stage.table("marks", marks)
     file = F.first(F.struct("n_bytes", "media_sha256", "parts")).alias("file")
-    files = texts.mapInArrow(_files(level), FILE).groupBy("k").agg(file).join(marks, "k", "left").select("k", "file.*", "marks")
+    files = texts.mapInArrow(_files(True), FILE).groupBy("k").agg(file).join(marks, "k", "left").select("k", "file.*", "marks")
     own = F.when(F.col("marks").isNull(), F.col("parts")).otherwise(
         F.transform("parts", lambda x, i: F.when(~F.exists("marks", lambda m: m["place"] == i), x)))
     lent = F.transform(F.filter("marks", lambda m: m["lends"]), lambda m: F.struct(m["digest"].alias("digest"), F.element_at("parts", m["place"] + 1).alias("chunk")))
@@ -132,7 +141,6 @@ def feature(samples: np.ndarray) -> str:
 
 def _assemble(columns: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -141,7 +149,7 @@ def _assemble(columns: tuple[str, ...]):
                     parts[x["place"]] = x["chunk"]
                 if None in parts:
                     raise ValueError("a stored file lacks a chunk")
-                media = b"".join(map(expand.decompress, parts))
+                media = b"".join(map(expand, parts))
                 if hashlib.sha256(media).hexdigest() != r["media_sha256"]:
                     raise ValueError("a stored file does not match its digest")
                 samples = decode(media)
