@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, byte_dedup, html_text, langid, lm_score, media, ngram_join, packing, pieces, substring_dedup
+from plumbline.llm import ann, byte_dedup, html_text, langid, lm_score, media, ngram_join, oracles, packing, pieces, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_ngram_join": oracles.NGRAM_JOIN, "op3_substring_dedup": oracles.SUBSTRING_DEDUP}
