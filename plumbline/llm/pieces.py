@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +47,28 @@ FALLBACK, PIECE = 1e6, 1.0
 PAIRS = 300_000
 
 
+def _model(path: str):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model
+
+
+@cache
+def outputs(path: str) -> tuple[list[bytes], bool]:
+    """What each id stands for, and whether a mark goes before the text: all that decoding needs."""
+    model = _model(path)
+    out = [bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNKNOWN) else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+    return out, model.normalizer_spec.add_dummy_prefix
+
+
 class Machine:
     """The compiled transducer of one model file."""
 
     def __init__(self, path: str) -> None:
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
-        model = pb.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model = _model(path)
         rules = model.normalizer_spec
         if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
             raise ValueError("only the identity normaliser with escaped white space is compiled")
@@ -62,7 +76,6 @@ class Machine:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.piece = [p.piece for p in model.pieces]
-        self.output = [bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNKNOWN) else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
         self.score = [p.score for p in model.pieces]
         self.trie: list[dict[str, int]] = [{}]
@@ -299,9 +312,9 @@ def encode_rows(path: str, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
 
 
 def decode_ids(path: str, ids: list[int]) -> bytes:
-    m, _ = machine(path)
-    out = b"".join(map(m.output.__getitem__, ids))
-    return out[1:] if m.prefix and out[:1] == b" " else out
+    output, prefix = outputs(path)
+    out = b"".join(map(output.__getitem__, ids))
+    return out[1:] if prefix and out[:1] == b" " else out
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
