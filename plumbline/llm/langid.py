@@ -28,6 +28,8 @@ from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
 
 FEATURES, ORDERS, PRIOR, MAX_FIT = 1 << 15, 3, 0.5, 20_000
+#: Bytes of text of one numpy pass: an n-gram takes some 100 bytes while it is scored.
+PASS = 1 << 18
 COUNTS = "lang string, slot int, docs long, counts binary"
 
 
@@ -77,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = T.bytes_of(batch.column("text"))
         langs = batch.column("lang").to_pylist()
-        for lo, hi in T.slices(off):
+        for lo, hi in T.slices(off, PASS):
             f, w, _ = features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             row = T.owners(w)
             for name in sorted(set(langs[lo:hi])):
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         names = pa.array([*m.langs, "und"], pa.string())
         for batch in batches:
             buf, off = T.bytes_of(batch.column("text"))
-            got = [m.predict(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in T.slices(off)]
+            got = [m.predict(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in T.slices(off, PASS)]
             best = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in got)])
             score = np.concatenate([np.zeros(0), *(b for _, b in got)])
             cols = dict(zip(batch.schema.names, batch.columns, strict=True))
