@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of one Arrow batch at most: texts are long, and a batch is held several times on its way to Python and back.
+ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ROWS; a setting that is lower stays."""
+    have = int(spark.conf.get(_ROWS))
+    if have <= 0 or have > ROWS:
+        spark.conf.set(_ROWS, ROWS)
 
 
 class Stage:
@@ -21,6 +31,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        small_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.path = f"{root.rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)

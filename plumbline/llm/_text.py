@@ -8,6 +8,8 @@ in every task of every run.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,8 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text that one numpy pass takes at a time; a longer single text makes a slice of its own.
 SLICE = 1 << 20
+#: Words that one numpy pass takes at a time, likewise.
+WORDS = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,6 +77,22 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+def span_hashes(values: np.ndarray, off: np.ndarray, at: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """span_hash of values[i : i + size] for ascending i in ``at``, row by row: no span crosses a row's offsets."""
+    out = [np.zeros(0, U)]
+    for lo, hi in slices(off, WORDS):
+        mine = at[slice(*np.searchsorted(at, [off[lo], off[hi]]))] - off[lo]
+        out.append(span_hash(values[off[lo] : off[hi]], mine, mine + size, which))
+    return np.concatenate(out)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks, beside a JVM that needs it too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     col = batch.column(name)
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

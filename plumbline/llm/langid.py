@@ -26,6 +26,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
+from plumbline.llm._stage import small_batches
 
 FEATURES, ORDERS, PRIOR, MAX_FIT = 1 << 15, 3, 0.5, 20_000
 #: Bytes of text of one numpy pass: an n-gram takes some 100 bytes while it is scored.
@@ -74,6 +75,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    T.release()
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for batch in batches:
@@ -117,6 +119,7 @@ class Model:
 
 def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Learn from doc_id, text and lang (rows where one is null are skipped)."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
     share = min(1.0, max_fit / max(1, rows.count()))
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
@@ -135,10 +138,12 @@ def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs with lang_pred and score, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release()
         m = shared.value
         names = pa.array([*m.langs, "und"], pa.string())
         for batch in batches:

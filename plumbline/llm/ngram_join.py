@@ -42,7 +42,15 @@ GROUPS, FANOUT, CELL = 64, 16, 256
 
 def shingles(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingles in ascending order, and the rows' offsets."""
+    T.release()
     h, off = T.word_hashes(*T.bytes_of(t["text"]), lower=True)
+    got = [_sets(h[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], size) for lo, hi in T.slices(off, T.WORDS)]
+    counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in got)])
+    return np.concatenate([np.zeros(0, T.U), *(k for k, _ in got)]), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _sets(h: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' shingles one after another, and each row's number, from word hashes."""
     n = np.diff(off)
     count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     start = T.ranges(off[:-1], count)
@@ -52,7 +60,7 @@ def shingles(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     key, row = key[order], row[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    return key[new], np.searchsorted(row[new], np.arange(len(n) + 1))
+    return key[new], np.bincount(row[new], minlength=len(n))
 
 
 def point(sh: np.ndarray) -> np.ndarray:

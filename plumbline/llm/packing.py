@@ -136,6 +136,7 @@ def curve(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release()
         for batch in batches:
             buf, off = T.bytes_of(batch.column("text"))
             for lo, hi in T.slices(off):

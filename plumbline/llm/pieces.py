@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _text as T
 from plumbline.llm._memo import Memo
+from plumbline.llm._stage import small_batches
 
 MARK = "▁"
 NEVER = float("inf")
@@ -320,6 +321,8 @@ def decode_ids(path: str, ids: list[int]) -> bytes:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) per row."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = T.bytes_of(batch.column("text"))

@@ -116,10 +116,14 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
     n = buckets(texts.sparkSession)
 
     def symbols(t: pa.Table) -> tuple:
+        T.release()
         h, off = T.word_hashes(*T.bytes_of(t["text"]), lower=False)
-        sym, row, cs, ce = recompress(h, off, rounds)
-        use = ce - cs <= window
-        return h, off, sym[use] & T.COARSE, row[use], cs[use], ce[use]
+        got = [(np.zeros(0, T.U), *(np.zeros(0, np.int64) for _ in range(3)))]
+        for lo, hi in T.slices(off, T.WORDS):
+            sym, row, cs, ce = recompress(h[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], rounds)
+            use = ce - cs <= window
+            got.append((sym[use] & T.COARSE, row[use] + lo, cs[use] + off[lo], ce[use] + off[lo]))
+        return h, off, *map(np.concatenate, zip(*got, strict=True))
 
     def ask_symbols(key: tuple, t: pa.Table) -> pa.Table:
         _, _, sym, row, _, _ = symbols(t)
@@ -147,7 +151,7 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         np.add.at(dead, hi, -1)
         alive = _window_starts(off, window) & (np.cumsum(dead[:-1]) == 0)
         at = np.flatnonzero(alive)
-        keys, check = T.span_hash(h, at, at + window), T.span_hash(h, at, at + window, 1) >> T.U(32)
+        keys, check = T.span_hashes(h, off, at, window), T.span_hashes(h, off, at, window, 1) >> T.U(32)
         uniq, first, inv = np.unique(keys, return_index=True, return_inverse=True)
         smallest = np.full(len(uniq), LAST)
         np.minimum.at(smallest, inv, _order(t)[T.owners(off)[at]])
@@ -161,12 +165,13 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         return [Q.minima(group, vals[0])[group]], []
 
     def remove(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        T.release()
         t = t.sort_by("k")
         buf, byte_off = T.bytes_of(t["text"])
         h, off = T.word_hashes(buf, byte_off, lower=False)
         alive = np.unpackbits(Q.replies(r, ALIVE).astype(np.uint8), count=len(h)).astype(bool) if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(alive)
-        _, inv = np.unique(T.span_hash(h, at, at + window), return_inverse=True)
+        _, inv = np.unique(T.span_hashes(h, off, at, window), return_inverse=True)
         row = T.owners(off)
         again = at[Q.replies(r, PASSAGE)[inv] < _order(t)[row[at]]] if len(at) else at
         cover = np.zeros(len(h) + 1, np.int64)
