@@ -4,12 +4,14 @@ Each tree halves a bounded sample of the rows again and again: it projects them
 difference of two random sample points and splits at the median. The forest (at most
 ``trees`` x ``leaves`` hyperplanes) is broadcast; every row is then dealt to one leaf of every
 tree. A query walks all trees at once through one priority queue, nearest splits first, until
-``probes`` leaves are chosen; queries meet rows by leaf, in cells of bounded size, and the
-inner products of all rows of the leaf are taken exactly, in double precision. A last step
-keeps the nearest of all cells.
+``probes`` leaves are chosen. A leaf's queries are dealt to blocks of bounded size, its rows to
+cells; a task holds one block and its k nearest so far, and the rows of a cell pass by it in
+batches, so that memory depends on neither. Inner products of what may be among the nearest are
+taken exactly, in double precision. A last step keeps the nearest of all leaves and cells.
 
-A leaf that holds very many rows (copies of one vector) is dealt to as many cells as it needs,
-and its queries visit all of them.
+Cells follow the work: all blocks and cells together number some four a partition, so that a
+leaf with very many rows (copies of one vector) is spread, and the last step reads at most k
+rows of each cell a query visits, however many rows there are.
 
 Vectors without clusters (independent random directions) have no near neighbours that a split
 could keep together: there the share of leaves to visit for a recall of 0.9 is large at any
@@ -35,6 +37,8 @@ from plumbline.llm._stage import Stage, parts
 
 #: Production parameters: sample rows that fit the forest, trees, leaves a tree, leaves a query visits.
 SAMPLE, TREES, LEAVES, PROBES, CELL = 8192, 3, 32, 44, 1024
+#: Queries of one block; (block, cell) groups a partition.
+ASKED, GROUPS = 8192, 4
 
 
 class Forest:
@@ -111,6 +115,60 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+class Block:
+    """A block of queries and the k nearest of the rows that have passed by."""
+
+    def __init__(self, k: int, dim: int) -> None:
+        self.k, self.dim = k, dim
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ids = self.x = self.found = self.score = None
+
+    def ask(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.asked.append((ids, x))
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if self.ids is None:
+            self.ids, self.x = (np.concatenate(c) for c in zip(*self.asked, strict=True))
+            self.found, self.score = np.full((len(self.ids), self.k), np.iinfo(np.int64).max), np.full((len(self.ids), self.k), -np.inf)
+        k = self.k
+        for lo in range(0, len(self.ids), 256):
+            part, own = self.x[lo : lo + 256], self.ids[lo : lo + 256]
+            rough = part @ x.T
+            rough[own[:, None] == ids[None, :]] = -np.inf
+            # what may be among the k nearest, by a product whose last bits depend on the block; then exactly
+            edge = self.score[lo : lo + 256, -1]
+            if rough.shape[1] > k and not np.isfinite(edge).all():
+                edge = np.maximum(edge, np.partition(rough, -k, axis=1)[:, -k])
+            edge = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -1e300)
+            i, j = np.nonzero(rough >= edge[:, None])
+            if not len(i):
+                continue
+            score = np.zeros(len(i))
+            for d in range(self.dim):
+                score += part[i, d] * x[j, d]
+            held = np.unique(i)
+            i, v, score = np.concatenate([np.repeat(held, k), i]), np.concatenate([self.found[lo + held].reshape(-1), ids[j]]), np.concatenate([self.score[lo + held].reshape(-1), score])
+            best = np.lexsort((v, -score, i))
+            i, v, score = i[best], v[best], score[best]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < k
+            self.found[lo + i[keep], place[keep]], self.score[lo + i[keep], place[keep]] = v[keep], score[keep]
+
+    def nearest(self) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            i, j = np.nonzero(self.score > -np.inf)
+            yield pa.RecordBatch.from_pydict({"query_id": self.ids[i], "vec_id": self.found[i, j], "score": self.score[i, j]})
+
+
+def _runs(b: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple[int, ...], int, int]]:
+    """Values, start and end of each run of equal values in these columns."""
+    key = np.stack([b.column(c).to_numpy() for c in names], 1)
+    cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        if hi > lo:
+            yield tuple(key[lo].tolist()), lo, hi
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, leaves: int = LEAVES, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, itself left out.
 
@@ -141,50 +199,43 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES,
         f = shared.value
         for b in batches:
             x = _matrix(b.column("vec")).reshape(len(b), dim)
-            got = f.probe(x, probes)
-            n = np.array([len(g) for g in got], np.int64)
-            at = np.repeat(np.arange(len(b)), n)
-            raw = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_pydict({
-                "leaf": np.array([t * leaves + i for g in got for t, i in g], np.int64), "query_id": b.column("vec_id").take(pa.array(at)), "q": raw.take(pa.array(at))})
+            got = [[t * leaves + i for t, i in g] for g in f.probe(x, probes)]
+            yield pa.RecordBatch.from_pydict({"query_id": b.column("vec_id"), "q": pa.array([v.tobytes() for v in x], pa.binary()), "leaf": pa.array(got, pa.list_(pa.int64()))})
 
     fits = F.size("vec") == dim
     dealt = stage.table("leaves", base.filter(fits).distinct().mapInArrow(deal, "leaf long, vec_id long, x binary"))
-    size = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / CELL).alias("cells"))  # at most trees x leaves rows
-    size = F.broadcast(size)
-    inside = dealt.join(size, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("cells")).alias("cell"), "vec_id", "x")
-    visits = asked.filter(fits).distinct().mapInArrow(ask, "leaf long, query_id long, q binary").join(size, "leaf")
-    visits = visits.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), "query_id", "q")
-
-    def meet(key: tuple, base_: pa.Table, queries_: pa.Table) -> pa.Table:
-        q, v, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if len(base_) and len(queries_):
-            ids = base_["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            x = np.stack([np.frombuffer(r, np.float64) for r in base_["x"].to_pylist()])[order]
-            qid = queries_["query_id"].to_numpy()
-            y = np.stack([np.frombuffer(r, np.float64) for r in queries_["q"].to_pylist()])
-            for lo in range(0, len(qid), 256):
-                part, own = y[lo : lo + 256], qid[lo : lo + 256]
-                rough = part @ x.T
-                rough[own[:, None] == ids[None, :]] = -np.inf
-                # what may be among the k nearest, by a product whose last bits depend on the block; then exactly
-                edge = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(part), -np.inf)
-                edge = np.where(np.isfinite(edge), edge - 1e-9 * (1 + np.abs(edge)), -1e300)
-                i, j = np.nonzero(rough >= edge[:, None])
-                score = np.zeros(len(i))
-                for d in range(dim):
-                    score += part[i, d] * x[j, d]
-                best = np.lexsort((ids[j], -score, i))
-                i, j, score = i[best], j[best], score[best]
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-                q.append(own[i[keep]])
-                v.append(ids[j[keep]])
-                s.append(score[keep])
-        return pa.table({"query_id": np.concatenate(q), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
-
-    near = inside.groupBy("leaf", "cell").cogroup(visits.groupBy("leaf", "cell")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    visits = stage.table("queries", asked.filter(fits).distinct().mapInArrow(ask, "query_id long, q binary, leaf array<long>"))
+    # at most trees x leaves rows each
+    held = {r.leaf: r.n for r in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    wanted = {r.leaf: r.n for r in visits.select(F.explode("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    work = sum(held[i] * n for i, n in wanted.items() if i in held) / (GROUPS * parts(spark))
+    size = []
+    for i, n in wanted.items():
+        if i in held:
+            in_blocks = -(-n // ASKED)
+            size.append((i, in_blocks, min(-(-held[i] // CELL), int(np.ceil(held[i] * n / in_blocks / work)))))
+    size = F.broadcast(spark.createDataFrame(size, "leaf long, blocks long, cells long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    base_ = dealt.join(size, "leaf").select("leaf", every("blocks").alias("block"), F.pmod(F.xxhash64("vec_id", "x"), F.col("cells")).alias("cell"), F.lit(1).alias("side"), F.col("vec_id").alias("id"), "x")
+    queries_ = visits.select(F.explode("leaf").alias("leaf"), "query_id", "q").join(size, "leaf")
+    queries_ = queries_.select("leaf", F.pmod(F.xxhash64("query_id", "q"), F.col("blocks")).alias("block"), every("cells").alias("cell"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("q").alias("x"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, Block(k, dim)
+        for b in batches:
+            ids, x = b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("x").to_pylist()), np.float64).reshape(-1, dim)
+            for (*key, side), lo, hi in _runs(b, ["leaf", "block", "cell", "side"]):
+                if key != at:
+                    yield from block.nearest()
+                    at, block = key, Block(k, dim)
+                if side == 0:
+                    block.ask(ids[lo:hi], x[lo:hi])
+                elif block.asked:
+                    block.meet(ids[lo:hi], x[lo:hi])
+        yield from block.nearest()
+
+    # a group's queries come before its rows
+    near = queries_.unionByName(base_).repartition("leaf", "block", "cell").sortWithinPartitions("leaf", "block", "cell", "side").mapInArrow(meet, "query_id long, vec_id long, score double")
 
     def nearest(key: tuple, t: pa.Table) -> pa.Table:
         v, s = t["vec_id"].to_numpy(), t["score"].to_numpy()

@@ -59,3 +59,48 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in ann.search(rows, rows.filter("vec_id = 20")).collect()] == [(20, 1, 3, 0.5)]
     none = spark.createDataFrame([], schema)
     assert ann.search(none, none).count() == 0
+
+
+def test_queries_and_rows_are_bounded(spark, monkeypatch):
+    """Many queries visit one leaf's many rows: a task holds no more than a block of them, and sends on k of a cell."""
+    rng = np.random.default_rng(6)
+    data = [(i, rng.standard_normal(6).tolist()) for i in range(400)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 4 = 0")
+    want = exact(data, [d for d, _ in data if d % 4 == 0], 5)
+    monkeypatch.setattr(ann, "CELL", 16)
+    monkeypatch.setattr(ann, "ASKED", 10)
+    blocks, held, sent = (spark.sparkContext.accumulator(0) for _ in range(3))
+    true_nearest = ann.Block.nearest
+
+    class Seen(ann.Block):
+        def nearest(self):
+            if self.ids is not None:
+                blocks.add(1)
+                held.add(len(self.ids) > 3 * 10)  # blocks are dealt by hash
+            for b in true_nearest(self):
+                sent.add(b.num_rows > 5 * len(self.ids))
+                yield b
+
+    monkeypatch.setattr(ann, "Block", Seen)
+    got = ann.search(rows, asked, k=5, leaves=2, probes=6).orderBy("query_id", "rank").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert by == want
+    assert blocks.value >= 50 and held.value == 0 and sent.value == 0
+
+
+def test_block_merges_as_rows_pass(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 5))
+    block = ann.Block(7, 5)
+    block.ask(np.arange(40), x[:40])
+    block.ask(np.arange(40, 60), x[40:60])
+    for lo in range(0, 300, 11):
+        block.meet(np.arange(lo, min(300, lo + 11)), x[lo : lo + 11])
+    (b,) = block.nearest()
+    got = {}
+    for q, v, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        got.setdefault(q, []).append((v, s))
+    assert got == exact(list(enumerate(x)), range(60), 7)
