@@ -14,7 +14,9 @@ White space is what Python's str.split takes as such; a line break tag counts as
 Scripts, styles, templates, comments of the markup and the head's contents are no blocks.
 
 Cases: null or empty html, and pages without main text, give an empty text; unclosed tags end
-with their parent; a very long page is read whole; rows with null ids are kept; repeated rows
+with their parent, an unclosed head at the first element or text that cannot stand in it, an
+unclosed drawing or formula at the first element of a page; a tag with a quote left open ends
+at its first >; a very long page is read whole; rows with null ids are kept; repeated rows
 each return a row; an empty table returns no rows.
 """
 
@@ -48,8 +50,17 @@ SCOPE = frozenset("article aside body div footer header main nav section table u
 
 PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Drawings and formulas, in which a slash closes a tag, and the elements that cannot stand in them and end them.
+FOREIGN = frozenset("svg math".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()) | BLOCK
+#: Elements of a drawing or formula that hold text of the page's own kind.
+HOLDS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: Elements whose content is no markup: their end tags.
-RAW = {x: re.compile(rf"</{x}\b[^>]*>?", re.I) for x in "script style textarea title noscript template iframe svg math".split()}
+RAW = {x: re.compile(rf"</{x}\b[^>]*>?", re.I) for x in "script style textarea title noscript template iframe".split()}
+#: An attribute's value: its quote, or all of an unquoted one.
+VALUE = re.compile(r"""=\s*(?:(["'])|[^\s>"'][^\s>]*)""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -66,9 +77,34 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def tag_end(page: str, at: int, gone: set[str]) -> int:
+    """Where the > of the tag lies whose attributes begin at ``at``; -1 if nowhere.
+
+    A > inside a quoted value ends nothing, but only if the quotes are a value's own: where the
+    next quote opens another value or text follows it at once, the value was left open, and its
+    tag ends at the first >. ``gone`` keeps the quotes that do not come again in the page.
+    """
+    end = page.find(">", at)
+    while end >= 0 and (m := VALUE.search(page, at, end)):
+        at, quote = m.end(), m[1]
+        if not quote:
+            continue
+        close = -1 if quote in gone else page.find(quote, at)
+        if close < 0:
+            gone.add(quote)
+            break
+        if close > end:
+            after = page.find(">", close)
+            if after < 0 or not (page[close + 1].isspace() or page[close + 1] in "/>") or page[close - 1] == "=":
+                break
+            end = after
+        at = close + 1
+    return end
+
+
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """Start, end, lower-case name ('' if none), whether it closes, and attributes of each tag or comment; one pass."""
-    i, n, quotes = page.find("<"), len(page), True
+    i, n, gone, foreign = page.find("<"), len(page), set(), ""
     while i >= 0:
         if page.startswith("<!--", i):
             end = page.find("-->", i + 4)
@@ -76,15 +112,17 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             yield i, end, "", False, ""
         elif (m := NAME.match(page, i + 1)) or page[i + 1 : i + 2] in ("!", "?", "/"):
             end = page.find(">", i)
-            if quotes and end >= 0 and page.count('"', i, end) % 2:  # a > inside a quoted value
-                close = page.find('"', end)
-                quotes = close >= 0
-                end = page.find(">", close) if quotes else end
+            if m and end >= 0 and (page.find('"', i, end) >= 0 or page.find("'", i, end) >= 0):
+                end = tag_end(page, m.end(), gone)
             end = n if end < 0 else end + 1
             if m and m.end() <= end:
                 name = m[1].lower()
-                closes = page[i + 1] == "/"
-                if not closes and name in RAW:
+                closes, shut = page[i + 1] == "/", page[end - 2] == "/"
+                if name in FOREIGN and (not foreign or name == foreign):
+                    foreign = "" if closes or shut and not foreign else name
+                elif foreign and not closes and name in BREAKS:
+                    foreign = ""
+                if not closes and name in RAW and not (foreign and shut):
                     stop = RAW[name].search(page, end)
                     end = stop.end() if stop else n
                     yield i, end, "", False, ""
@@ -123,6 +161,8 @@ def blocks(page: str) -> list[Block]:
         del stack[k:]
 
     for start, end, name, closes, attributes in tags(page):
+        if start > at and stack and stack[-1][0] == "head" and not page[at:start].isspace():
+            close(len(stack) - 1)
         if start > at and not silent:
             raw = page[at:start]
             piece.append(raw)
@@ -131,7 +171,11 @@ def blocks(page: str) -> list[Block]:
         at = end
         if not name:
             continue
-        if name in BLOCK:
+        if name in BREAKS and not closes and (count.get("svg") or count.get("math")):
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN)
+            if not any(x in HOLDS for x, _ in stack[k:]):
+                close(k)
+        if name in BLOCK and not (silent and any(count.get(x) for x in HOLDS)):
             flush()
         elif name == "br":
             piece.append(" ")
@@ -139,6 +183,8 @@ def blocks(page: str) -> list[Block]:
             if count.get(name):
                 close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
+        if count.get("head") and name not in HEAD:
+            close(next(k for k, x in enumerate(stack) if x[0] == "head"))
         ends = ENDS.get(name)
         if ends and any(count.get(x) for x in ends):
             for k in range(len(stack) - 1, -1, -1):
@@ -146,12 +192,14 @@ def blocks(page: str) -> list[Block]:
                     close(k)
                 elif stack[k][0] in SCOPE:
                     break
-        if name in VOID or attributes.endswith("/") and name in SILENT:
+        if name in VOID or attributes.endswith("/") and (name in SILENT or count.get("svg") or count.get("math")):
             continue
         words = tuple(w for a in NAMED.findall(attributes) for w in PART.findall("".join(a).lower())) if attributes else ()
         stack.append((name, words))
         count[name] = count.get(name, 0) + 1
         silent += name in SILENT
+    if at < len(page) and stack and stack[-1][0] == "head":
+        close(len(stack) - 1)
     if at < len(page) and not silent:
         piece.append(page[at:])
     flush()

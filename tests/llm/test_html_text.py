@@ -71,3 +71,56 @@ def test_gradients_by_differences():
         down, _ = model.gradients(x, mask, y)
         model.p[k][at] = old
         assert g[k][at] == pytest.approx((up - down) / (2 * eps), rel=0.02, abs=1e-5)
+
+
+LONG = "A paragraph of the article that is long enough to be read, with more than a few words in it."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # quotes of another kind, stray and open ones
+        (f"<p><img alt='15\" screen'>{LONG}</p><p class=\"b\">Next</p>", [LONG, "Next"]),
+        (f'<p><a href="x"">link</a> {LONG}</p><p class="b">Next</p>', [f"link {LONG}", "Next"]),
+        (f'<p><a href="x>link</a> {LONG}</p><p>He said "yes" to it</p><p class="b">Next</p>', [f"link {LONG}", 'He said "yes" to it', "Next"]),
+        (f'<p><a href="x>link</a> {LONG}</p><p class="b">Next</p>', [f"link {LONG}", "Next"]),
+        (f"<p><a href=x?y='z>link</a> {LONG}</p><p class='b'>Next</p>", [f"link {LONG}", "Next"]),
+        (f'<p><a href="x>link</a> {LONG}</p><p>Next</p>', [f"link {LONG}", "Next"]),
+        # a > in a value is the value's
+        ("<p title=\"a > b\" class='c > \"d'>One</p><p data-x='{\"k\": \"<b>\"}'>Two</p><img alt=\"x > y\"/>Three", ["One", "Two", "Three"]),
+        ('<!DOCTYPE html PUBLIC "-//W3C//DTD>One<p class="x">Two</p>', ["One", "Two"]),
+        # drawings and formulas
+        (f'<p>Icon <svg class="i"/> {LONG}</p><p>Next</p>', [f"Icon {LONG}", "Next"]),
+        (f"<p>Sum <math/> {LONG}</p><p>Next</p><svg></svg>", [f"Sum {LONG}", "Next"]),
+        (f'<p>Icon <svg><g><path d="M0"/><title/><text>no</text></g></svg> {LONG}</p>', [f"Icon {LONG}"]),
+        (f"<div>One<svg><path d=x></div><p>{LONG}</p>", ["One", LONG]),
+        (f"<div>One<svg><path d=x><p>{LONG}</p></div>", ["One", LONG]),
+        ("<div>One<svg><foreignObject><p>no</p></foreignObject><svg/>no</svg>Two</div>", ["OneTwo"]),
+        # a head that is not closed
+        (f"<html><head><title>no</title><meta charset=x><link rel=y><p>{LONG}</p><p>Next</p>", [LONG, "Next"]),
+        (f"<head><title>no</title><style>no</style>\n{LONG}<p>Next</p>", [LONG, "Next"]),
+        (f"<head><title>no</title>{LONG}", [LONG]),
+        ("<head><title>no</title></head><body><p>One</p></body>", ["One"]),
+        ("<head><script>no</script><body>One", ["One"]),
+    ],
+)
+def test_malformed_markup_swallows_no_text(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
+def test_open_quotes_take_linear_time():
+    from time import perf_counter
+
+    def took(n):
+        t = perf_counter()
+        assert len(html_text.blocks("<p a='x>y" * n + "<p a=\"x>y" * n)) >= n
+        return perf_counter() - t
+
+    took(1000)
+    assert took(40_000) < 20
+
+
+def test_odd_pages_keep_their_article(spark):
+    odd = [PAGE.replace("<article>", "<article><img alt='15\" screen'>"), PAGE.replace('<a href="/y">', '<a href="/y"">'), PAGE.replace("<h1>", "<h1><svg/>"), PAGE.replace("</head><body>", "")]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(odd)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == dict.fromkeys(range(4), TEXT)
