@@ -153,15 +153,22 @@ def links(found: DataFrame, stage: Stage, percent: int) -> DataFrame:
 
     label = lambda x, c: comp.select(F.col("node").alias(x), F.col("comp").alias(c))
     named = pairs.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("comp"), F.coalesce("cb", "b").alias("main"))
-    open_ = named.groupBy("b").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / CELL).alias("cells")).filter("c0 != c1").select("b", "cells")
-    # the root's component holds most of a group of copies: its texts stay in one cell, others visit every cell
-    own = F.pmod(F.xxhash64("a", "b"), F.col("cells"))
-    visits = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    inside = F.col("comp") == F.col("main")
+    fill = lambda x: F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.when(x, 1)) / CELL))
+    open_ = named.groupBy("b").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), fill(inside).alias("cells"), fill(~inside).alias("blocks")).filter("c0 != c1").select("b", "cells", "blocks")
+    # the root's component holds most of a group of copies: its texts are dealt to cells, others to blocks; each block meets
+    # each cell (kind 0), and each two blocks meet once (kind 1)
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    slot = lambda n: F.pmod(F.xxhash64("a", "b"), F.col(n))
+    own = slot("blocks")
+    others = F.transform(F.filter(to("blocks"), lambda y: y != own), lambda y: at(1, F.least(own, y), F.greatest(own, y)))
+    visits = F.when(inside, F.transform(to("blocks"), lambda y: at(0, slot("cells"), y))).otherwise(F.concat(F.transform(to("cells"), lambda x: at(0, x, own)), others))
     cell = named.join(open_, "b").select("b", F.explode(visits).alias("cell"), F.col("a").alias("m"), "comp", "main")
-    cell = cell.join(texts.select("m", "s", "sh"), "m").select("b", "cell", "m", "comp", "main", "s", "sh")
+    cell = cell.join(texts.select("m", "s", "sh"), "m").select("b", "cell.kind", "cell.x", "cell.y", "m", "comp", "main", "s", "sh")
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
-        """Verified links between components, one for each two that meet in this cell."""
+        """Verified links between components, one for each two that meet here."""
         t = t.sort_by("m")
         m, comp_, main, s = (t[c].to_numpy() for c in ("m", "comp", "main", "s"))
         own = [np.frombuffer(x, T.U) for x in t["sh"].to_pylist()]
@@ -183,7 +190,7 @@ def links(found: DataFrame, stage: Stage, percent: int) -> DataFrame:
                     b.append(int(m[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    extra = stage.table("links-tree", cell.groupBy("b", "cell").applyInArrow(search, "a long, b long").distinct())
+    extra = stage.table("links-tree", cell.groupBy("b", "kind", "x", "y").applyInArrow(search, "a long, b long").distinct())
     if not extra.limit(1).count():
         return comp
     return components(root.unionByName(extra), stage, "all")

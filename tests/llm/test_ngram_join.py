@@ -77,3 +77,31 @@ def test_tree_finds_all_within_the_bound():
 
 def test_empty(make_docs):
     assert ngram_join.join(make_docs([])).count() == 0
+
+
+def test_visitors_of_a_hot_root_are_bounded(spark, make_docs, monkeypatch):
+    """Texts share a template but are not its links: no task holds them all, and their own links are found."""
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    met, most = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    plain = ngram_join.Tree
+
+    class Seen(plain):
+        def __init__(self, points, sizes, percent):
+            met.add(1)
+            most.add(len(sizes) > 5 * 16)  # two sides of 16, dealt by hash
+            super().__init__(points, sizes, percent)
+
+    monkeypatch.setattr(ngram_join, "Tree", Seen)
+    rnd = random.Random(5)
+    template = [f"t{i}" for i in range(40)]
+    near = [(i, " ".join([*template, f"e{i}"])) for i in range(40)]
+    far = []
+    for i in range(150):
+        w = template + [f"v{i}.{rnd.randrange(10**6)}" for _ in range(12)]
+        far.append((1000 + 2 * i, " ".join(w)))
+        if i % 3 == 0:
+            far.append((1001 + 2 * i, " ".join([*w[:-1], "z"])))
+    rows = near + far
+    got = sorted((tuple(r) for r in ngram_join.join(make_docs(rows)).collect()), key=str)
+    assert got == brute(rows)
+    assert met.value > 10 and most.value == 0
