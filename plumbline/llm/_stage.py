@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A multi-pass operator writes what a later pass reads again as Parquet under
-``spark.checkpoint.dir`` (the warehouse where that is unset): lineage ends there, so a lost
+``spark.checkpoint.dir`` (on one machine the warehouse where that is unset): lineage ends there, so a lost
 executor costs one pass at most, and the shuffle files of the finished pass are released.
 """
 
@@ -26,14 +26,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS, ROWS)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on one machine the warehouse will do where it is unset."""
+    if (root := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir")
+
+
 class Stage:
     """Tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         small_batches(spark)
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        self.path = f"{root.rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
@@ -56,6 +64,14 @@ class Stage:
             pass
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of these has, in any case."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     """How many blocks and buckets to deal rows into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

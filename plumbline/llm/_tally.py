@@ -21,11 +21,14 @@ ASK = "block int, bucket int, kind int, n long, keys binary, vals array<binary>"
 ASK_PA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("vals", pa.list_(pa.binary()))])
 
 
+_squeeze = zstandard.ZstdCompressor(level=1)
+
+
 def pack(a: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     a = np.ascontiguousarray(a)
     width = a.dtype.itemsize
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, width).T.tobytes())
+    return bytes([width]) + _squeeze.compress(a.view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unpack(b: bytes, dtype: type = np.int64) -> np.ndarray:
@@ -50,7 +53,7 @@ def small(a: np.ndarray) -> np.ndarray:
 
 
 def asks(block: int, kind: int, keys: np.ndarray, vals: list[np.ndarray], n_buckets: int) -> Iterator[dict]:
-    """Rows that ask about sorted distinct keys."""
+    """Rows that ask about sorted keys; a key may come again only with another check among its values."""
     edges = np.array([(b << 64) // n_buckets if b < n_buckets else (1 << 64) - 1 for b in range(n_buckets + 1)], U)
     at = np.searchsorted(keys, edges)
     at[-1] = len(keys)
@@ -109,6 +112,21 @@ def sums(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.bincount(group, values, minlength=int(group.max()) + 1 if len(group) else 0).astype(np.int64)
 
 
+def pairs(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in ascending order of (key, check), where each distinct pair starts in that order, and each entry's pair's number."""
+    order = np.argsort(keys, kind="stable")
+    k, c = keys[order], check[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    if (c[1:] != c[:-1])[~new[1:]].any():  # keys have collided
+        order = np.lexsort((check, keys))
+        k, c = keys[order], check[order]
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
 def finer(group: np.ndarray, check: np.ndarray) -> np.ndarray:
     """Groups told apart by a second hash as well, where the first one has collided."""
     first = np.zeros(int(group.max()) + 1 if len(group) else 0, np.int64)

@@ -14,6 +14,8 @@ that repeats is parsed alike wherever it stands, apart from its two ends.
 3. What is left are the ends of repeats, where frames of one core differ, and strings without
    any trigger. Their bytes are hashed one by one, and the earliest place of each is found.
 
+Frames and strings, whose verdict removes text, are told by 96 bits of two lanes of hashes.
+
 The corpus order is doc_id, then place in the text. Every question is put to the whole corpus
 by bounded blocks through `_tally`.
 
@@ -25,7 +27,8 @@ without a sort of all suffixes.
 Cases: null text is empty; copies of a text are folded into the smallest doc_id, whose copies
 lose everything if they have ``length`` bytes; rows with one doc_id are one document whose texts are
 told apart by place alone; a null doc_id
-counts as the largest; an empty table returns no rows.
+counts as the largest; a very long text is one slice of its block and read whole; extra columns
+are ignored; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -46,100 +49,116 @@ LENGTH, TRIGGER, MODULUS = 100, 8, 16
 PHRASE, FRAME, CORE, STRING, LEFT = 1, 2, 3, 4, 5
 
 
-def triggers(buf: np.ndarray, off: np.ndarray, width: int, modulus: int) -> np.ndarray:
-    """Positions whose next ``width`` bytes lie in one row and hash to 0."""
-    if len(buf) < width:
+def triggers(buf: np.ndarray, off: np.ndarray, modulus: int) -> np.ndarray:
+    """Positions whose next TRIGGER bytes lie in one row and hash to the least of ``modulus`` equal ranges."""
+    if len(buf) < TRIGGER:
         return np.zeros(0, np.int64)
-    h = np.zeros(len(buf) - width + 1, T.U)
-    for i in range(width):  # Horner's rule over a few bytes, without tables of powers
-        h *= T.U(T.BASES[0])
-        h += T.TABLE[buf[i : len(buf) - width + 1 + i]]
-    at = np.flatnonzero(T.mix(h) % T.U(modulus) == 0)
+    h = T.loads(buf)[: len(buf) - TRIGGER + 1] * T.LANES[0]
+    h ^= h >> T.U(29)
+    h *= T.LANES[1]
+    at = np.flatnonzero(h < T.U((1 << 64) // modulus))
     row = np.searchsorted(off, at, "right") - 1
-    return at[at + width <= off[row + 1]]
+    return at[at + TRIGGER <= off[row + 1]]
 
 
 class Slice:
-    """One numpy pass's texts with their triggers."""
+    """One numpy pass's texts with their triggers. Names are pairs of hashes, one of each lane."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, length: int) -> None:
         self.buf, self.off, self.length = buf, off, length
-        self.at = triggers(buf, off, TRIGGER, MODULUS)
+        self.at = triggers(buf, off, MODULUS)
         self.row = np.searchsorted(off, self.at, "right") - 1
-        self.code = T.TABLE[buf]
-        up, _ = T.powers(len(buf) + 1)
-        self.total = np.zeros(len(buf) + 1, T.U)
-        np.cumsum(self.code * up[: len(buf)], out=self.total[1:])
-
-    def hash(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        _, down = T.powers(len(self.buf) + 1)
-        return T.mix((self.total[e] - self.total[s]) * down[s] + (e - s).astype(T.U))
-
-    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Name, first and past-the-last byte of each phrase, from a trigger to the end of the next."""
-        one = np.flatnonzero(self.row[1:] == self.row[:-1]) if len(self.at) else np.zeros(0, np.int64)
-        s, e = self.at[one], self.at[one + 1] + TRIGGER
-        return self.hash(s, e) & T.COARSE, s, e
+        #: The triggers that another one of the row follows: a phrase goes from one to the end of the next.
+        self.one = np.flatnonzero(self.row[1:] == self.row[:-1]) if len(self.at) else np.zeros(0, np.int64)
+        self.names: tuple[np.ndarray, ...] = ()
+
+    def phrases(self) -> np.ndarray:
+        """The phrases' names, cut to the bits that the sieve asks about."""
+        if not self.names:
+            got = T.both_hashes(self.buf, self.at[self.one], self.at[self.one + 1] + TRIGGER)
+            self.names = tuple(np.zeros(len(self.at), T.U) for _ in got)
+            for full, x in zip(self.names, got, strict=True):
+                full[self.one] = x
+        return self.names[0][self.one] & T.COARSE
 
     def alive(self, alone: np.ndarray) -> np.ndarray:
         """Starts of the strings that hold no phrase flagged as alone."""
         n = len(self.buf)
-        count = np.zeros(n + 1, np.int32)
         full = np.maximum(np.diff(self.off) - self.length + 1, 0)
-        np.add.at(count, self.off[:-1], (full == 0).astype(np.int32))
-        np.add.at(count, np.minimum(self.off[:-1] + full, n), (full > 0).astype(np.int32))
-        np.add.at(count, self.off[1:], -1)
-        _, s, e = self.phrases()
-        s, e = s[alone], e[alone]
-        first = np.maximum(e - self.length, self.off[np.searchsorted(self.off, s, "right") - 1])
+        s, e = self.at[self.one][alone], self.at[self.one + 1][alone] + TRIGGER
+        first = np.maximum(e - self.length, self.off[self.row[self.one][alone]])
         ok = first <= s
-        np.add.at(count, first[ok], 1)
-        np.add.at(count, s[ok] + 1, -1)
+        count = np.bincount(np.concatenate([self.off[:-1] + full, first[ok]]), minlength=n + 1)
+        count -= np.bincount(np.concatenate([self.off[1:], s[ok] + 1]), minlength=n + 1)
         return np.flatnonzero(np.cumsum(count[:n]) == 0)
 
-    def framed(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of strings: whether they hold a trigger; their core's and their frame's number, name and start."""
-        a = np.searchsorted(self.at, start)
-        b = np.searchsorted(self.at, start + self.length - TRIGGER, "right") - 1
-        return a, b
+    def framed(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last trigger inside each string; the last is before the first where there is none."""
+        before = np.zeros(len(self.buf) + 2, np.int32)
+        before[self.at + 1] = 1
+        np.cumsum(before, out=before)
+        return before[start].astype(np.int64), before[start + self.length - TRIGGER + 1].astype(np.int64) - 1
 
-    def frames(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def frames(self, a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Names of the cores and frames from trigger a to trigger b, and where the frames start."""
-        row = self.row[a]
-        lo, hi = self.off[row], self.off[row + 1]
+        self.phrases()
+        row, last = self.row[a], len(self.at) - 1
         inside = (a > 0) & (self.row[a - 1] == row)
-        left = np.where(inside, self.at[a - 1], lo)
-        nxt = np.minimum(b + 1, len(self.at) - 1)
-        more = (b + 1 < len(self.at)) & (self.row[nxt] == row)
-        right = np.where(more, self.at[nxt] + TRIGGER, hi)
-        core = self.hash(self.at[a], self.at[b] + TRIGGER)
-        frame = T.mix(T.mix(core + self.hash(left, self.at[a]) * T.U(3)) + self.hash(self.at[b] + TRIGGER, right) * T.U(5))
-        return core, frame, left
+        more = (b < last) & (self.row[np.minimum(b + 1, last)] == row)
+        left = np.where(inside, self.at[a - 1], self.off[row])
+        # the stretches before a row's first trigger and after its last one
+        rows, i = np.unique(self.row, return_index=True)
+        j = np.append(i[1:], len(self.at)) - 1
+        heads, tails = T.both_hashes(self.buf, self.off[rows], self.at[i]), T.both_hashes(self.buf, self.at[j] + TRIGGER, self.off[rows + 1])
+        mine = np.searchsorted(rows, row)
+        trigger = T.loads(self.buf)[self.at[a]].astype(T.U)
+        cores, frames = [], []
+        for lane, (name, head, tail) in enumerate(zip(self.names, heads, tails, strict=True)):
+            core = T.joined(T.runs(name, a, b - a, lane), trigger, 1, lane)
+            frame = T.joined(core, np.where(inside, name[a - 1], head[mine]), 2, lane)
+            cores.append(core)
+            frames.append(T.joined(frame, np.where(more, name[b], tail[mine]), 3, lane))
+        return cores, frames, left
+
+    def strings(self, start: np.ndarray) -> list[np.ndarray]:
+        """Names of the strings of ``length`` bytes from these places, from the bytes that they cover alone."""
+        if not len(start):
+            return [np.zeros(0, T.U)] * 2
+        cover = np.bincount(start, minlength=len(self.buf) + 1) - np.bincount(start + self.length, minlength=len(self.buf) + 1)
+        held = np.cumsum(cover[:-1]) > 0
+        at = np.concatenate(([0], np.cumsum(held)))[start]
+        x = T.loads(self.buf[held])
+        return [T.windows(x, at, self.length, TRIGGER, lane) for lane in (0, 1)]
 
 
 def _slices(t: pa.Table, length: int) -> list[tuple[int, int, Slice]]:
     buf, off = T.bytes_of(t["text"])
-    return ((lo, hi, Slice(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)) for lo, hi in T.slices(off))
+    return [(lo, hi, Slice(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)) for lo, hi in T.slices(off)]
 
 
-def _first(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their earliest (doc, at), and each entry's key."""
-    order = np.lexsort((at, doc, keys))
-    ranked = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    inv = np.empty(len(keys), np.int64)
-    inv[order] = np.cumsum(new) - 1
-    lead = order[new]
-    return ranked[new], doc[lead], at[lead], inv
+def _least(order: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest (doc, at) of each run of entries that begins at first."""
+    if not len(first):
+        return doc[:0], at[:0]
+    doc, at = doc[order], at[order]
+    d = np.minimum.reduceat(doc, first)
+    size = np.diff(np.append(first, len(order)))
+    return d, np.minimum.reduceat(np.where(doc == np.repeat(d, size), at, LAST), first)
 
 
-def _earliest(group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _earliest(group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Each entry's group's earliest (doc, at)."""
-    order = np.lexsort((at, doc, group))
-    lead = np.zeros(int(group.max()) + 1 if len(group) else 0, np.int64)
-    lead[group[order[::-1]]] = order[::-1]
-    return doc[lead][group], at[lead][group]
+    order = np.argsort(group, kind="stable")
+    new = np.ones(len(group), bool)
+    new[1:] = np.diff(group[order]) != 0
+    number = np.empty(len(group), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return [x[number] for x in _least(order, np.flatnonzero(new), doc, at)]
+
+
+def _check(names: list[np.ndarray]) -> np.ndarray:
+    """32 bits of the second lane, which tell apart what collides in the first."""
+    return (names[1] >> T.U(32)).astype(np.int64)
 
 
 def _cat(parts_: list[np.ndarray], dtype: type = np.int64) -> np.ndarray:
@@ -151,105 +170,114 @@ def classes(texts: DataFrame, stage: Stage, length: int = LENGTH) -> DataFrame:
     n = buckets(texts.sparkSession)
 
     def ask_phrases(key: tuple, t: pa.Table) -> pa.Table:
-        uniq, c = np.unique(_cat([s.phrases()[0] for _, _, s in _slices(t, length)], T.U), return_counts=True)
+        T.release()
+        uniq, c = np.unique(_cat([s.phrases() for _, _, s in _slices(t, length)], T.U), return_counts=True)
         return Q.table_of(list(Q.asks(key[0].as_py(), PHRASE, uniq, [np.minimum(c, 2)], n)))
 
     def again(kind: int, group: np.ndarray, vals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
         return [(Q.sums(group, vals[0]) > 1)[group].astype(np.int64)], []
 
-    def live_frames(t: pa.Table, lone: np.ndarray) -> tuple:
-        """Per slice the live strings, and all slices' distinct cores and frames."""
+    def live_frames(t: pa.Table, slices: list, lone: np.ndarray) -> list[tuple]:
+        """Per slice its first row, the live strings, whether they hold triggers and which frame is theirs; the frames' cores, names, document and start."""
         order, used, out = _order(t), 0, []
-        for lo, _, s in _slices(t, length):
-            size = len(s.phrases()[0])
-            start = s.alive(lone[used : used + size])
-            used += size
+        for lo, _, s in slices:
+            start = s.alive(lone[used : used + len(s.one)])
+            used += len(s.one)
             a, b = s.framed(start)
             held = a <= b
-            code = a[held] * (len(s.at) + 1) + b[held]
-            pair, inv = np.unique(code, return_inverse=True)
-            core, frame, left = s.frames(pair // (len(s.at) + 1), pair % (len(s.at) + 1))
-            row = s.row[pair // (len(s.at) + 1)] if len(pair) else pair
-            out.append((lo, s, start, held, inv, core, frame, order[lo + row], left - s.off[row]))
+            a, b = a[held], b[held]
+            new = np.ones(len(a), bool)  # neither trigger goes back from one string to the next
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            a, b = a[new], b[new]
+            core, frame, left = s.frames(a, b) if len(a) else ([np.zeros(0, T.U)] * 2, [np.zeros(0, T.U)] * 2, a)
+            row = s.row[a]
+            out.append((lo, s, start, held, np.cumsum(new) - 1, core[0], frame, order[lo + row], left - s.off[row]))
         return out
 
-    def lone_phrases(t: pa.Table, r: pa.Table) -> np.ndarray:
-        _, inv = np.unique(_cat([s.phrases()[0] for _, _, s in _slices(t, length)], T.U), return_inverse=True)
+    def lone_phrases(slices: list, r: pa.Table) -> np.ndarray:
+        _, inv = T.groups(_cat([s.phrases() for _, _, s in slices], T.U))
         return Q.replies(r, PHRASE)[inv] == 0
 
+    def entries(found: list, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and checks of names that stand in place ``at`` of each slice's answer."""
+        lanes = [_cat([x[at][i] for x in found], T.U) for i in (0, 1)]
+        return lanes[0], _check(lanes)
+
     def ask_frames(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        T.release()
         t = t.sort_by("k")  # flags of phrases are kept for later passes, where rows may come in another order
-        lone = lone_phrases(t, r)
-        got = live_frames(t, lone)
-        core, frame = _cat([x[5] for x in got], T.U), _cat([x[6] for x in got], T.U)
-        uniq, doc, at, _ = _first(frame, _cat([x[7] for x in got]), _cat([x[8] for x in got]))
-        block = key[0].as_py()
-        out = list(Q.asks(block, FRAME, uniq, [doc, at], n))
+        slices = _slices(t, length)
+        lone = lone_phrases(slices, r)
+        got = live_frames(t, slices, lone)
+        core, (frame, check) = _cat([x[5] for x in got], T.U), entries(got, 6)
+        order, first, _ = Q.pairs(frame, check)
+        lead, block = order[first], key[0].as_py()
+        out = list(Q.asks(block, FRAME, frame[lead], [*_least(order, first, _cat([x[7] for x in got]), _cat([x[8] for x in got])), check[lead]], n))
         # a core is told how many frames it has: by the least and the greatest of their names
-        order = np.lexsort((frame, core))
-        ranked, names = core[order], frame[order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        last = np.append(new[1:], True) if len(new) else new
-        out += Q.asks(block, CORE, ranked[new], [(names[new] >> T.U(2)).astype(np.int64), (names[last] >> T.U(2)).astype(np.int64)], n)
+        order, names = np.argsort(core), (frame >> T.U(2)).astype(np.int64)
+        ranked = core[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(core) else order
+        ends = [f.reduceat(names[order], first) if len(core) else names for f in (np.minimum, np.maximum)]
+        out += Q.asks(block, CORE, ranked[first], ends, n)
         out.append({"block": block, "bucket": -1, "kind": LEFT, "n": len(lone), "keys": None, "vals": [Q.pack(np.packbits(lone))]})
         return Q.table_of(out)
 
     def settle(kind: int, group: np.ndarray, vals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
         if kind == FRAME:
-            return list(_earliest(group, vals[0], vals[1])), []
+            return _earliest(Q.finer(group, vals[2]), vals[0], vals[1]), []
         least = Q.minima(group, vals[0])
         greatest = -Q.minima(group, -vals[1])
         return [(least != greatest)[group].astype(np.int64)], []
 
-    def split(t: pa.Table, r: pa.Table) -> tuple:
-        """Per slice: live strings, those known to be repeats, and those whose bytes must be compared."""
+    def split(t: pa.Table, r: pa.Table) -> list[tuple]:
+        """Per slice: its first row, the live strings known to be repeats, those whose bytes must be compared, and their names."""
         lone = np.unpackbits(Q.replies(r, LEFT).astype(np.uint8)).astype(bool)
-        got = live_frames(t, lone)
-        frame, core = _cat([x[6] for x in got], T.U), _cat([x[5] for x in got], T.U)
-        _, fi = np.unique(frame, return_inverse=True)
-        _, ci = np.unique(core, return_inverse=True)
+        got = live_frames(t, _slices(t, length), lone)
+        _, _, fi = Q.pairs(*entries(got, 6))
+        _, ci = T.groups(_cat([x[5] for x in got], T.U))
         doc, at, several = Q.replies(r, FRAME, 0), Q.replies(r, FRAME, 1), Q.replies(r, CORE)
         used, out = 0, []
-        for lo, s, start, held, inv, core_, _, own, left in got:
-            mine = slice(used, used + len(core_))
-            used += len(core_)
-            later = (doc[fi[mine]] < own) | (doc[fi[mine]] == own) & (at[fi[mine]] < left) if len(core_) else np.zeros(0, bool)
-            differ = ~later & (several[ci[mine]] == 1) if len(core_) else later
+        for lo, s, start, held, inv, core, _, own, left in got:
+            mine = slice(used, used + len(core))
+            used += len(core)
+            later = (doc[fi[mine]] < own) | (doc[fi[mine]] == own) & (at[fi[mine]] < left) if len(core) else np.zeros(0, bool)
+            differ = ~later & (several[ci[mine]] == 1) if len(core) else later
             known, open_ = np.zeros(len(start), bool), ~held
             known[held], open_[held] = later[inv], differ[inv]
-            out.append((lo, s, start[known], start[open_]))
+            out.append((lo, s, start[known], start[open_], s.strings(start[open_])))
         return out
 
-    def strings(t: pa.Table, got: list) -> tuple:
+    def strings(t: pa.Table, got: list) -> tuple[np.ndarray, ...]:
+        """Keys, checks, documents and places of the strings to compare."""
         order = _order(t)
-        keys = _cat([s.hash(o, o + length) for _, s, _, o in got], T.U)
-        rows = [np.searchsorted(s.off, o, "right") - 1 for _, s, _, o in got]
+        rows = [np.searchsorted(s.off, o, "right") - 1 for _, s, _, o, _ in got]
         doc = _cat([order[x[0] + r] for x, r in zip(got, rows, strict=True)])
         at = _cat([x[3] - x[1].off[r] for x, r in zip(got, rows, strict=True)])
-        return keys, doc, at
+        return *entries(got, 4), doc, at
 
     def ask_strings(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        T.release()
         t = t.sort_by("k")
-        uniq, doc, at, _ = _first(*strings(t, split(t, r)))
-        return Q.table_of(list(Q.asks(key[0].as_py(), STRING, uniq, [doc, at], n)))
+        keys, check, doc, at = strings(t, split(t, r))
+        order, first, _ = Q.pairs(keys, check)
+        lead = order[first]
+        return Q.table_of(list(Q.asks(key[0].as_py(), STRING, keys[lead], [*_least(order, first, doc, at), check[lead]], n)))
 
     def settle_strings(kind: int, group: np.ndarray, vals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
-        return list(_earliest(group, vals[0], vals[1])), []
+        return _earliest(Q.finer(group, vals[2]), vals[0], vals[1]), []
 
     def remove(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
+        T.release()
         t = t.sort_by("k")
         got = split(t, r)
-        keys, own, place = strings(t, got)
-        _, inv = np.unique(keys, return_inverse=True)
+        keys, check, own, place = strings(t, got)
+        _, _, inv = Q.pairs(keys, check)
         doc, at = Q.replies(r, STRING, 0), Q.replies(r, STRING, 1)
         later = (doc[inv] < own) | (doc[inv] == own) & (at[inv] < place) if len(keys) else np.zeros(0, bool)
         n_bytes, spans, kept, used = [], [], [], 0
-        for _, s, known, open_ in got:
-            cover = np.zeros(len(s.buf) + 1, np.int32)
-            for x in (known, open_[later[used : used + len(open_)]]):
-                np.add.at(cover, x, 1)
-                np.add.at(cover, x + length, -1)
+        for _, s, known, open_, _ in got:
+            starts = np.concatenate([known, open_[later[used : used + len(open_)]]])
+            cover = np.bincount(starts, minlength=len(s.buf) + 1) - np.bincount(starts + length, minlength=len(s.buf) + 1)
             used += len(open_)
             gone = np.cumsum(cover[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))

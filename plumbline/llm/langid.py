@@ -9,7 +9,8 @@ broadcast. Batches are scored in numpy over whole texts.
 Cases: a text that is null or has no letter is ``und`` with score 0, as is every text when no
 labelled row was given; equal scores go to the first language by name; rows whose label is null
 are not learned from; a null doc_id is scored but not learned from; repeated rows each return
-a row; an empty table returns no rows.
+a row; a very long text is scored whole; extra columns are carried through, but lang_pred and
+score are replaced unless another column is named for the answer; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
@@ -135,12 +136,14 @@ def fit(labelled: DataFrame, max_fit: int = MAX_FIT) -> Model:
     return Model(langs, np.log(c / c.sum(0)), np.log(docs / docs.sum()))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with lang_pred and score, which replace columns of these names."""
+def identify(docs: DataFrame, model: Model, into: str | None = None) -> DataFrame:
+    """All columns of docs with lang_pred and score, which replace columns of these names; or as the fields of one new column ``into``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages numbers
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
-    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    told = StructType().add("lang_pred", "string").add("score", "double")
+    if into is None:
+        docs = docs.drop(*told.names)
+    schema = StructType([*docs.schema.fields, *(told.fields if into is None else [StructField(into, told)])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release()
@@ -150,8 +153,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             buf, off = T.bytes_of(batch.column("text"))
             got = [m.predict(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in T.slices(off, PASS)]
             best = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in got)])
-            score = np.concatenate([np.zeros(0), *(b for _, b in got)])
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-            yield pa.RecordBatch.from_pydict(cols | {"lang_pred": names.take(pa.array(np.where(best < 0, len(m.langs), best))), "score": score})
+            new = {"lang_pred": names.take(pa.array(np.where(best < 0, len(m.langs), best))), "score": pa.array(np.concatenate([np.zeros(0), *(b for _, b in got)]))}
+            if into is not None:
+                new = {into: pa.StructArray.from_arrays([*new.values()], names=[*new])}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
     return docs.mapInArrow(run, schema)

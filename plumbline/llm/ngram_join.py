@@ -18,8 +18,10 @@ Pairs in one component need no comparison, so a group of copies costs a pass ove
 and not over its pairs; no pair that could join two components is left out.
 
 Cases: null and empty text have no shingles and link with nothing; copies of a text are one
-point; rows with one doc_id are one document and pool their links; rows with a null doc_id
-take no part and have a null component_id; an empty table returns no rows.
+point; rows with one doc_id are one document and pool their links (n_shingles is each row's
+own, and a row without shingles stays by itself); rows with a null doc_id take no part and have
+a null component_id; a very long text is one set of all its shingles; extra columns are
+ignored; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def _sets(h: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
     count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     start = T.ranges(off[:-1], count)
     row = np.repeat(np.arange(len(n)), count)
-    key = T.span_hash(h, start, start + np.minimum(n, size)[row])
+    key = T.runs(h, start, np.minimum(n, size)[row])
     order = np.lexsort((key, row))
     key, row = key[order], row[order]
     new = np.ones(len(key), bool)
@@ -73,21 +75,27 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Tree:
-    """Packed R-tree over count vectors: nodes of FANOUT points with coordinate maxima and least size."""
+    """Packed R-tree over count vectors: every node of FANOUT points or nodes knows its coordinate maxima and least size, up to one root."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> None:
-        self.order = np.lexsort((points[:, 0], sizes)) if len(sizes) else np.zeros(0, np.int64)
-        self.points, self.sizes, self.percent = points[self.order], sizes[self.order], percent
-        edges = np.arange(0, len(sizes), FANOUT)
-        self.top = np.maximum.reduceat(self.points, edges, axis=0)
-        self.least = np.minimum.reduceat(self.sizes, edges)
+        # packed by size, then by the group that stands out most, so that a node's maxima stay low
+        self.order = np.lexsort((points.argmax(1), sizes * 8 // np.maximum(sizes.max(), 1))) if len(sizes) else np.zeros(0, np.int64)
+        self.percent = percent
+        self.levels = [(points[self.order], sizes[self.order])]
+        while len(self.levels[-1][1]) > 1:
+            top, least = self.levels[-1]
+            edges = np.arange(0, len(least), FANOUT)
+            self.levels.append((np.maximum.reduceat(top, edges, axis=0), np.minimum.reduceat(least, edges)))
 
     def search(self, point_: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the points that may link with this one."""
-        node = np.flatnonzero(np.minimum(self.top, point_).sum(1) >= needed(self.least, size, self.percent))
-        at = T.ranges(node * FANOUT, np.minimum((node + 1) * FANOUT, len(self.sizes)) - node * FANOUT)
-        bound = np.minimum(self.points[at], point_).sum(1)
-        return self.order[at[bound >= needed(self.sizes[at], size, self.percent)]]
+        """Numbers of the points that may link with this one: only nodes whose bound allows a link are opened."""
+        at = np.arange(len(self.levels[-1][1]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            top, least = self.levels[depth]
+            at = at[np.minimum(top[at], point_).sum(1) >= needed(least[at], size, self.percent)]
+            if depth:
+                at = T.ranges(at * FANOUT, np.minimum((at + 1) * FANOUT, len(self.levels[depth - 1][1])) - at * FANOUT)
+        return self.order[at]
 
 
 def sets(texts: DataFrame, stage: Stage, size: int, percent: int) -> DataFrame:
@@ -103,7 +111,7 @@ def sets(texts: DataFrame, stage: Stage, size: int, percent: int) -> DataFrame:
 
     def make(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
         sh, off = shingles(t, size)
-        _, inv = np.unique(sh & T.COARSE, return_inverse=True)
+        _, inv = T.groups(sh & T.COARSE)
         df = Q.replies(r, SHINGLE)[inv]
         s = np.diff(off)
         least = -(-percent * s // 100)
@@ -141,14 +149,21 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return ready.select("a", "b", "pa", "pb", "ha", "hb").mapInArrow(check, "a long, b long")
 
 
-def links(found: DataFrame, stage: Stage, percent: int) -> DataFrame:
-    """node, comp: the texts that link with others, by their documents' smallest ids."""
+def pooled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: documents (doc_id) that have several texts, each with the smallest document of the text."""
+    several = rows.groupBy("doc_id").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("doc_id is not null and k0 != k1").select("doc_id")
+    named = rows.join(several, "doc_id").join(found.filter("s > 0 and m is not null").select("k", "m"), "k")
+    return named.filter("doc_id != m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def links(found: DataFrame, pool: DataFrame, stage: Stage, percent: int) -> DataFrame:
+    """node, comp: the texts that link with others, by their documents' smallest ids; ``pool`` holds links (a, b) known beforehand."""
     texts = found.filter("keys is not null and m is not null")
     member = stage.table("members", texts.select("m", "s", F.explode("keys").alias("key")))
     group = member.groupBy("key").agg(F.min("m").alias("rep"), F.count("*").alias("size")).filter("size > 1").select("key", "rep")
     pairs = stage.table("pairs", member.join(group, "key").filter("m != rep").select(F.col("m").alias("a"), F.col("rep").alias("b")).distinct())
     stage.drop("members")
-    root = stage.table("links-root", verified(pairs, texts, percent))
+    root = stage.table("links-root", verified(pairs, texts, percent).unionByName(pool))
     comp = components(root, stage, "root")
 
     label = lambda x, c: comp.select(F.col("node").alias(x), F.col("comp").alias(c))
@@ -202,7 +217,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     stage = Stage(spark, "ngrams")
     found = sets(stage.table("texts", distinct_texts(docs)), stage, size, percent)
     stage.drop("texts")
-    comp = links(found, stage, percent)
+    rows = stage.table("rows", keyed(docs).select("doc_id", "k"))
+    comp = links(found, pooled(rows, found), stage, percent)
     named = found.select("k", "m", "s").join(comp, F.col("m") == F.col("node"), "left").select("k", "s", F.coalesce("comp", "m").alias("comp"))
-    return keyed(docs).select("doc_id", "k").join(named, "k").select(
+    return rows.join(named, "k").select(
         "doc_id", F.col("s").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("s") > 0, F.col("comp")).otherwise(F.col("doc_id"))).alias("component_id"))

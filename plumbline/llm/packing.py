@@ -53,7 +53,7 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         special = min(self.tokenizer.get_added_tokens_decoder().items())
         self.mark, self.between = special[0], special[1].content
-        self.memo = Memo(self.ask, T.TABLE_LOWER)
+        self.memo = Memo(self.ask, lower=True)
 
     def ask(self, spans: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []

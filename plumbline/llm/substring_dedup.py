@@ -16,8 +16,9 @@ document with a smaller doc_id.
 
 Cases: null text has no words; copies of a text are folded into the smallest doc_id, whose
 copies lose everything if they have ``window`` words; rows with one doc_id are one document
-and don't remove each other's words; a null doc_id counts as the largest; an empty table
-returns no rows.
+and don't remove each other's words; a null doc_id counts as the largest; a very long text is
+read whole, slice by slice of its words; extra columns are ignored, but for `replaced`, which
+carries them through unchanged, whatever their names; an empty table returns no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _tally as Q
 from plumbline.llm import _text as T
-from plumbline.llm._stage import Stage, buckets, distinct_texts, keyed
+from plumbline.llm._stage import Stage, buckets, distinct_texts, fresh, keyed
 
 WINDOW, ROUNDS = 50, 5
 SYMBOL, PASSAGE, ALIVE = 1, 2, 3
@@ -127,7 +128,7 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
 
     def ask_symbols(key: tuple, t: pa.Table) -> pa.Table:
         _, _, sym, row, _, _ = symbols(t)
-        order = np.lexsort((row, sym))
+        order = np.argsort(sym, kind="stable")  # rows ascend already
         sym, row = sym[order], row[order]
         new = np.ones(len(sym), bool)
         new[1:] = sym[1:] != sym[:-1]
@@ -137,13 +138,20 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         held = 1 + np.logical_or.reduceat(many, at).astype(np.int64) if len(at) else np.zeros(0, np.int64)
         return Q.table_of(list(Q.asks(key[0].as_py(), SYMBOL, sym[at], [held], n)))
 
+    def named(t: pa.Table, h: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits of the windows' first hash and 32 bits of a second one, which rests on other hashes of the words."""
+        if not len(at):
+            return np.zeros(0, T.U), at
+        other, _ = T.word_hashes(*T.bytes_of(t["text"]), lower=False, which=1)
+        return T.row_windows(h, off, at, window), (T.row_windows(other, off, at, window, 1) >> T.U(32)).astype(np.int64)
+
     def in_several(kind: int, group: np.ndarray, vals: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
         return [(Q.sums(group, vals[0]) > 1)[group].astype(np.int64)], []
 
     def ask_windows(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:
         t = t.sort_by("k")  # places of windows are kept for the last pass, where rows may come in another order
         h, off, sym, row, cs, ce = symbols(t)
-        _, inv = np.unique(sym, return_inverse=True)
+        _, inv = T.groups(sym)
         alone = Q.replies(r, SYMBOL)[inv] == 0
         dead = np.zeros(len(h) + 1, np.int64)
         lo, hi = np.maximum(ce[alone] - window, off[row[alone]]), cs[alone] + 1
@@ -151,12 +159,11 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         np.add.at(dead, hi, -1)
         alive = _window_starts(off, window) & (np.cumsum(dead[:-1]) == 0)
         at = np.flatnonzero(alive)
-        keys, check = T.span_hashes(h, off, at, window), T.span_hashes(h, off, at, window, 1) >> T.U(32)
-        uniq, first, inv = np.unique(keys, return_index=True, return_inverse=True)
-        smallest = np.full(len(uniq), LAST)
-        np.minimum.at(smallest, inv, _order(t)[T.owners(off)[at]])
-        block = key[0].as_py()
-        out = list(Q.asks(block, PASSAGE, uniq, [smallest, check[first].astype(np.int64)], n))
+        keys, check = named(t, h, off, at)
+        order, first, _ = Q.pairs(keys, check)
+        smallest = np.minimum.reduceat(_order(t)[T.owners(off)[at]][order], first) if len(at) else at
+        lead, block = order[first], key[0].as_py()
+        out = list(Q.asks(block, PASSAGE, keys[lead], [smallest, check[lead]], n))
         out.append({"block": block, "bucket": -1, "kind": ALIVE, "n": len(h), "keys": None, "vals": [Q.pack(np.packbits(alive))]})
         return Q.table_of(out)
 
@@ -171,7 +178,7 @@ def classes(texts: DataFrame, stage: Stage, window: int = WINDOW, rounds: int =
         h, off = T.word_hashes(buf, byte_off, lower=False)
         alive = np.unpackbits(Q.replies(r, ALIVE).astype(np.uint8), count=len(h)).astype(bool) if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(alive)
-        _, inv = np.unique(T.span_hashes(h, off, at, window), return_inverse=True)
+        _, _, inv = Q.pairs(*named(t, h, off, at))
         row = T.owners(off)
         again = at[Q.replies(r, PASSAGE)[inv] < _order(t)[row[at]]] if len(at) else at
         cover = np.zeros(len(h) + 1, np.int64)
@@ -220,12 +227,12 @@ def replaced(docs: DataFrame, column: str, window: int = WINDOW, rounds: int = R
     own = docs.select("doc_id", F.col(column).alias("text"))
     texts = stage.table("texts", distinct_texts(own))
     # a text has lost words only if it is in here; copies of a text are told by the join
-    found = classes(texts, stage, window, rounds).select(
-        F.col("k").alias("_k"), F.col("m").alias("_m"), F.col("n_words").alias("_n"), F.col("n_removed").alias("_gone"), F.when(F.col("n_removed") > 0, F.col("kept")).alias("_kept"))
-    found = stage.table("found", found.filter((F.col("_gone") > 0) | (F.col("_n") >= window)))
-    key = F.unhex(F.md5(F.coalesce(F.col(column), F.lit(""))))
-    both = docs.join(found, key == F.col("_k"), "left")
-    copy = (F.col("_n") >= window) & F.col("_m").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_m")))
-    left = both.filter(~F.coalesce(copy | (F.col("_gone") == F.col("_n")), F.lit(False)))
-    text = F.when(F.coalesce(F.col("_gone") > 0, F.lit(False)), F.col("_kept")).otherwise(F.col(column))
-    return left.withColumn(column, text).select(*docs.columns)
+    found = classes(texts, stage, window, rounds).filter((F.col("n_removed") > 0) | (F.col("n_words") >= window))
+    mine = fresh("found", docs.columns)  # one column beside those of docs, whatever they are called
+    found = stage.table("found", found.select(F.struct("k", "m", "n_words", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept")).alias(mine)))
+    of = lambda c: F.col(f"{mine}.{c}")
+    both = docs.join(found, F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")))) == of("k"), "left")
+    copy = (of("n_words") >= window) & of("m").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > of("m")))
+    left = both.filter(~F.coalesce(copy | (of("n_removed") == of("n_words")), F.lit(False)))
+    text = F.when(F.coalesce(of("n_removed") > 0, F.lit(False)), of("kept")).otherwise(F.col(column))
+    return left.withColumn(column, text).select(*(F.col(f"`{c}`") for c in docs.columns))
