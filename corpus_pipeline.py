@@ -25,27 +25,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import langid, ngram_join, packing, substring_dedup
-from plumbline.llm._stage import Stage
+from plumbline.llm._stage import Stage, fresh
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns by name, whatever signs the names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = langid.identify(docs, langid.fit(docs)).filter("lang_pred != 'und' and score >= 0.5")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    told = fresh("told", docs.columns)
+    named = langid.identify(docs, langid.fit(docs), told)
+    kept = named.filter(f"{told}.lang_pred != 'und' and {told}.score >= 0.5")
+    return kept.withColumn("lang", F.coalesce("lang", f"{told}.lang_pred")).select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = ngram_join.join(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return one.unionByName(docs.filter("doc_id is null")).dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    mine = fresh("kept", docs.columns)
+    kept = ngram_join.join(docs).filter("component_id = doc_id").select(F.col("doc_id").alias(mine)).distinct()
+    one = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(mine), "left_semi")
+    return one.unionByName(docs.filter("doc_id is null")).dropDuplicates(["doc_id", "text"]).select(*columns(docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = substring_dedup.replaced(docs, "text")
-    return whole.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return whole.withColumn("n_chars", F.length("text").cast("long")).select(*columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
