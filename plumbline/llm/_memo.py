@@ -10,7 +10,7 @@ import numpy as np
 from plumbline.llm import _text as T
 
 #: Distinct spans that a worker remembers at most; places of the table of short spans, by the leading bits of a hash.
-REMEMBER, BITS = 250_000, 18
+REMEMBER, BITS = 400_000, 18
 
 
 class Memo:

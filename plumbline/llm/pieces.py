@@ -1,31 +1,32 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer (operator 9).
 
-The model is compiled once per worker into one machine: the normaliser (a space becomes the
-piece mark, and a mark goes before the text), a trie of the pieces, and fallback arcs that
-spell an unknown character in bytes. For byte-pair models a second factor joins the machine:
-its states are the last pieces, and the arc from one piece to the next has a finite weight
-only if merging would leave the two side by side. One path through a text then has a finite
-weight: the tokens that merging by rank would give. For unigram models arcs weigh the pieces'
-negative log-probabilities. Composed with an input, the machine is searched for the shortest
-path in the tropical semiring, lazily: arcs are expanded where a path arrives.
+The model is compiled once per worker into one machine: the normaliser's arcs (a space is read
+as the piece mark; an arc without input puts a mark before the text), a trie of the pieces, and
+fallback arcs that spell an unknown character in bytes. For byte-pair models a second factor
+joins the machine: its states are the last pieces, and the arc from one piece to the next has a
+finite weight only if merging would leave the two side by side. One path through a text then
+has a finite weight: the tokens that merging by rank would give. For unigram models arcs weigh
+the pieces' negative log-probabilities. Composed with an input, the machine is a lattice whose
+shortest path in the tropical semiring gives the ids; the lattice is made lazily, where a path
+of finite weight arrives.
 
 No path runs across a place whose two characters stand side by side in no piece, nor, as marks
 only begin pieces, across the front of a run of marks: texts fall apart there, and paths are
-remembered per distinct segment.
+remembered per distinct segment. The arc without input is taken on the input itself (a space is
+put before the text), so that the first segment is remembered like any other.
 
-Decoding joins the pieces' bytes, turns marks into spaces and drops the mark that the
-normaliser has put before the text. For models with the identity normaliser the text returns
-exactly (the mark itself, U+2581, returns as a space).
+Decoding walks the inverted machine: an arc for each id, whose output is the piece's bytes with
+marks as spaces, and whose first state drops the mark before the text. For models with the
+identity normaliser the text returns exactly (the mark itself, U+2581, returns as a space).
 
-Cases: null and empty text have no ids; control characters are spelt in bytes; a very long
-segment costs in proportion to its length; repeated rows each return a row; an empty table
-returns no rows. Models with a normaliser other than identity, or that fold white space, are
-refused.
+Cases: null and empty text have no ids; a null doc_id is kept; control characters are spelt in
+bytes; a very long segment costs in proportion to its length; repeated rows each return a row;
+extra columns are ignored; an empty table returns no rows. Models with a normaliser other than
+identity, or that fold white space, are refused.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,7 +46,7 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: What a byte-fallback arc weighs for each byte, and a piece arc of a byte-pair model.
 FALLBACK, PIECE = 1e6, 1.0
 #: Pairs of pieces whose arc a worker remembers at most.
-PAIRS = 300_000
+PAIRS = 400_000
 
 
 def _model(path: str):
@@ -57,14 +58,6 @@ def _model(path: str):
     return model
 
 
-@cache
-def outputs(path: str) -> tuple[list[bytes], bool]:
-    """What each id stands for, and whether a mark goes before the text: all that decoding needs."""
-    model = _model(path)
-    out = [bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNKNOWN) else p.piece.replace(MARK, " ").encode() for p in model.pieces]
-    return out, model.normalizer_spec.add_dummy_prefix
-
-
 class Machine:
     """The compiled transducer of one model file."""
 
@@ -91,9 +84,13 @@ class Machine:
                     self.final.append(-1)
                 at = nxt
             self.final[at] = i
+        for arcs in self.trie:  # the normaliser's arc: a space is read as the mark
+            if MARK in arcs:
+                arcs[" "] = arcs[MARK]
+        if MARK in self.id:
+            self.id[" "] = self.id[MARK]
         if any(MARK in t.lstrip(MARK) for t in self.id):
             raise ValueError("only models whose marks begin pieces are compiled")
-        self.run = {t: i for t, i in self.id.items() if set(t) == {MARK}}
         #: Whether two characters stand side by side in a piece, for ASCII characters (the mark as a space); others may.
         self.joins = np.ones((256, 256), bool)
         self.joins[:128, :128] = False
@@ -102,7 +99,6 @@ class Machine:
             for x, y in zip(t, t[1:]):
                 if x < "\x80" and y < "\x80":
                     self.joins[ord(x), ord(y)] = True
-        self.longest_run = max(map(len, self.run), default=1)
         self.split: dict[str, tuple[str, str]] = {}
         self.follows: dict[int, bool] = {}
         self.edge: dict[int, tuple] = {}
@@ -169,109 +165,89 @@ class Machine:
         return got
 
     def shortest(self, text: str) -> list[int]:
-        """The shortest path through the machine composed with a segment: Dijkstra over (place, last piece)."""
-        n, bpe = len(text), self.kind == BPE
-        queue: list[tuple[float, int, int, int]] = [(0.0, 0, -1, 0)]
-        back: dict[tuple[int, int], tuple] = {(0, -1): (0.0, None, ())}
-        done = set()
-        order = 0
-        while queue:
-            cost, at, last, _ = heapq.heappop(queue)
-            at = -at
-            state = (at, last)
-            if state in done:
+        """The shortest path through the machine composed with a segment.
+
+        The composition is a lattice over (place, last piece) and has no cycles, so its states are
+        relaxed place by place; a state that no path of finite weight reaches is never made.
+        """
+        trie, final, follows, size, n, bpe = self.trie, self.final, self.follows, len(self.piece), len(text), self.kind == BPE
+        lattice: list[dict[int, tuple] | None] = [None] * (n + 1)
+        lattice[0] = {-1: (0.0, 0, -1, ())}
+        for at in range(n):
+            states = lattice[at]
+            if states is None:
                 continue
-            done.add(state)
-            if at == n:
-                out: list[int] = []
-                while state is not None:
-                    _, state, ids = back[state]
-                    out[:0] = ids
-                return out
-            arcs = []
             node, end = 0, at
             while end < n:
-                node = self.trie[node].get(text[end], -1)
+                node = trie[node].get(text[end], -1)
                 if node < 0:
                     break
                 end += 1
-                i = self.final[node]
-                if i >= 0 and (not bpe or last < 0 or self.allowed(last, i)):
-                    arcs.append((end, i if bpe else -1, PIECE if bpe else -self.score[i], (i,)))
+                i = final[node]
+                if i < 0:
+                    continue
+                to, weight = (i, PIECE) if bpe else (-1, -self.score[i])
+                for last, state in states.items():
+                    if last >= 0:
+                        ok = follows.get(last * size + i)
+                        if not (self.allowed(last, i) if ok is None else ok):
+                            continue
+                    there, total = lattice[end], state[0] + weight
+                    if there is None:
+                        lattice[end] = {to: (total, at, last, i)}
+                    elif to not in there or total < there[to][0]:
+                        there[to] = (total, at, last, i)
             if text[at] not in self.id:
                 raw = text[at].encode("utf-8", "replace")
-                ids = tuple(self.bytes[x] for x in raw) if self.bytes else (self.unknown,)
-                arcs.append((at + 1, -1, FALLBACK * len(raw), ids))
-            for end, i, weight, ids in arcs:
-                total = cost + weight
-                old = back.get((end, i))
-                if old is None or total < old[0]:
-                    back[end, i] = (total, state, ids)
-                    order += 1
-                    heapq.heappush(queue, (total, -end, i, order))
-        raise ValueError("no path")
-
-    def deep(self, text: str) -> list[int] | None:
-        """The same path of a byte-pair machine, depth first: only one path has a finite weight, so the first that arrives is it.
-
-        Long arcs come first, as they mostly go on; states that led nowhere are not entered
-        again. None where a character needs fallback arcs.
-        """
-        trie, final, follows, size, n = self.trie, self.final, self.follows, len(self.piece), len(text)
-
-        def arcs(at: int) -> list[tuple[int, int]]:
-            node, out = 0, []
-            while at < n:
-                node = trie[node].get(text[at], -1)
-                if node < 0:
-                    break
-                at += 1
-                if final[node] >= 0:
-                    out.append((at, final[node]))
-            return out
-
-        todo, ids, ends, dead = [arcs(0)], [], [0], set()
-        while todo:
-            left, last = todo[-1], ids[-1] if ids else -1
-            while left:
-                end, i = arc = left.pop()
-                if last >= 0:
-                    ok = follows.get(last * size + i)
-                    if not (self.allowed(last, i) if ok is None else ok):
-                        continue
-                if arc in dead:
-                    continue
-                ids.append(i)
-                if end == n:
-                    return ids
-                ends.append(end)
-                todo.append(arcs(end))
-                break
-            else:
-                todo.pop()
-                if ids:
-                    dead.add((ends.pop(), ids.pop()))
-        return None
+                last = min(states, key=lambda k: states[k][0])  # noqa: B023  called at once
+                total = states[last][0] + FALLBACK * len(raw)
+                there = lattice[at + 1] = lattice[at + 1] or {}
+                if -1 not in there or total < there[-1][0]:
+                    there[-1] = (total, at, last, tuple(self.bytes[x] for x in raw) if self.bytes else (self.unknown,))
+        if lattice[n] is None:
+            raise ValueError("no path")
+        at, last, out = n, min(lattice[n], key=lambda k: lattice[n][k][0]), []
+        while at:
+            _, at, last, ids = lattice[at][last]
+            out += ids[::-1] if isinstance(ids, tuple) else (ids,)
+        return out[::-1]
 
     def encode(self, span: bytes) -> list[int]:
-        """Ids of a segment: marks (written as spaces), then other characters."""
-        word = span.decode("utf-8", "replace")
-        if self.kind != BPE:
-            return self.shortest(word.replace(" ", MARK))
-        body = word.lstrip(" ")
-        marks = len(word) - len(body)
-        # all merges of marks come last and leftmost first: a run takes its longest pieces from the left
-        text = (MARK if marks and body else "") + body
-        ids = (self.deep(text) or self.shortest(text)) if text else []
-        extra = marks - bool(marks and body)
-        if extra and ids and self.piece[ids[0]] == MARK:
-            extra, ids = extra + 1, ids[1:]
-        front = []
-        while extra:
-            size = next(k for k in range(min(extra, self.longest_run), 0, -1) if MARK * k in self.run)
-            front.append(self.run[MARK * size])
-            extra -= size
-        return front + ids
+        """Ids of a segment."""
+        return self.shortest(span.decode("utf-8", "replace"))
+
+
+class Inverse:
+    """The inverted machine: one arc for each id, from pieces to bytes and from marks to spaces.
+
+    It has two states. From the first one an arc drops the mark that the normaliser has put
+    before the text; all arcs lead to the second one.
+    """
+
+    def __init__(self, path: str) -> None:
+        model = _model(path)
+        rest, start = [], []
+        for p in model.pieces:
+            out = bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNKNOWN) else p.piece.replace(MARK, " ").encode()
+            rest.append(out)
+            start.append(out[1:] if model.normalizer_spec.add_dummy_prefix and p.type in (NORMAL, USER) and out[:1] == b" " else out)
+        self.size = len(rest)
+        self.out = np.frombuffer(b"".join(rest + start), np.uint8)
+        self.length = np.fromiter(map(len, rest + start), np.int64, 2 * self.size)
+        self.at = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that all rows' ids spell, one row after another, and the rows' offsets."""
+        arc = ids.astype(np.int64)
+        arc[off[:-1][np.diff(off) > 0]] += self.size
+        n = self.length[arc]
+        return self.out[T.ranges(self.at[arc], n)].tobytes(), np.concatenate(([0], np.cumsum(n)))[off]
+
+
+
+@cache
+def inverse(path: str) -> Inverse:
+    return Inverse(path)
 
 
 _machines: dict[str, tuple[Machine, Memo]] = {}
@@ -312,12 +288,6 @@ def encode_rows(path: str, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
     return ids, at[w]
 
 
-def decode_ids(path: str, ids: list[int]) -> bytes:
-    output, prefix = outputs(path)
-    out = b"".join(map(output.__getitem__, ids))
-    return out[1:] if prefix and out[:1] == b" " else out
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) per row."""
 
@@ -339,7 +309,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [decode_ids(path, np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "decoded": pa.array(text, pa.binary())})
+            raw, at = T.bytes_of(batch.column("ids"))
+            for lo, hi in T.slices(at):
+                data, w = inverse(path).decode(np.frombuffer(raw[at[lo] : at[hi]].tobytes(), "<u4"), (at[lo : hi + 1] - at[lo]) // 4)
+                text = pa.array([data[a:b] for a, b in zip(w[:-1].tolist(), w[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "ids": batch.column("ids").slice(lo, hi - lo), "decoded": text})
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -39,12 +39,26 @@ def test_odd_texts_by_library(make_docs, library):
         assert bytes(r.decoded).decode() == t.replace(pieces.MARK, " ")
 
 
-def test_both_searches_agree():
+def test_only_one_path_of_a_byte_pair_machine_is_finite(library):
+    """All cuts of a segment into pieces: merging's is the only one whose arcs are all finite, and the shortest path finds it."""
     m, _ = pieces.machine(registry._vocabulary("piece_bpe_32k.model"))
     rnd = random.Random(1)
-    for _ in range(500):
-        w = pieces.MARK + "".join(rnd.choice(["the", "ing", "er", "on", "th", "x", "q", "é"]) for _ in range(rnd.randrange(1, 6)))
-        assert m.deep(w) == m.shortest(w)
+
+    def cuts(text):
+        return [[]] if not text else [[m.id[text[:k]], *rest] for k in range(1, len(text) + 1) if text[:k] in m.id for rest in cuts(text[k:])]
+
+    for _ in range(60):
+        w = pieces.MARK + "".join(rnd.choice(["the", "ing", "er", "on", "th", "x", "q"]) for _ in range(rnd.randrange(1, 4)))
+        finite = [c for c in cuts(w[:9]) if all(m.allowed(a, b) for a, b in zip(c, c[1:]))]
+        assert finite == [m.shortest(w[:9])] == [library.encode(w[1:9])]
+
+
+def test_inverse_undoes_ids_of_any_text(library):
+    texts = ["", " ", "a  b", " \n\t", "日本 \x00\x01", "the" * 40]
+    ids = [library.encode(t) for t in texts]
+    off = np.concatenate(([0], np.cumsum(list(map(len, ids)))))
+    data, at = pieces.inverse(registry._vocabulary("piece_bpe_32k.model")).decode(np.array(sum(ids, []), np.uint32), off)
+    assert [data[a:b].decode() for a, b in zip(at, at[1:])] == texts
 
 
 def test_empty(make_docs):
