@@ -144,18 +144,20 @@ def identify(docs: DataFrame, model: Model, into: str | None = None) -> DataFram
     if into is None:
         docs = docs.drop(*told.names)
     schema = StructType([*docs.schema.fields, *(told.fields if into is None else [StructField(into, told)])])
+    text = docs.columns.index("text")
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])  # names may hold any signs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release()
         m = shared.value
         names = pa.array([*m.langs, "und"], pa.string())
         for batch in batches:
-            buf, off = T.bytes_of(batch.column("text"))
+            buf, off = T.bytes_of(batch.column(text))
             got = [m.predict(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in T.slices(off, PASS)]
             best = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in got)])
             new = {"lang_pred": names.take(pa.array(np.where(best < 0, len(m.langs), best))), "score": pa.array(np.concatenate([np.zeros(0), *(b for _, b in got)]))}
             if into is not None:
                 new = {into: pa.StructArray.from_arrays([*new.values()], names=[*new])}
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=plain.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*plain.names[: len(docs.columns)]).mapInArrow(run, plain).toDF(*schema.names)

@@ -10,8 +10,9 @@ documents, and no count leaves the executors except the histogram that EM reads,
 is bounded by the number of bins.
 
 Cases: null text is empty (its score is that of the end token); a null doc_id is scored and
-trains like any other; repeated rows each count and each return a row; an empty table
-returns no rows. Without training tokens every probability is uniform over one type.
+trains like any other; repeated rows each count and each return a row; a very long text is
+read whole (a block holds whole documents); extra columns are ignored; an empty table returns
+no rows. Without training tokens every probability is uniform over one type.
 """
 
 from __future__ import annotations
@@ -69,17 +70,26 @@ def _value(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, 2.0 ** ((b - BINS // 3) / PER_DOUBLING), 0.0)
 
 
-HISTOGRAM = "block int, codes binary, counts binary"
+HISTOGRAM = "slot int, bucket int, codes binary, counts binary"
 
 
-def _packed(block: int, code: np.ndarray, count: np.ndarray) -> pa.Table:
-    """A histogram as one row."""
-    code, inv = np.unique(code, return_inverse=True)
-    count = np.bincount(inv, count, minlength=len(code)).astype(np.int64)
-    return pa.table({"block": pa.array([block], pa.int32()), "codes": [Q.pack(Q.small(code))], "counts": [Q.pack(Q.small(count))]})
+def _histogram(slot: int, counts: dict[int, np.ndarray]) -> pa.Table:
+    """A row for each context bucket: the bins (of both estimates) that occur, and how often."""
+    held = {b: np.flatnonzero(c) for b, c in counts.items()}
+    return pa.table({
+        "slot": pa.array([slot] * len(held), pa.int32()), "bucket": pa.array(list(held), pa.int32()),
+        "codes": pa.array([Q.pack(Q.small(at)) for at in held.values()], pa.binary()), "counts": pa.array([Q.pack(Q.small(counts[b][at])) for b, at in held.items()], pa.binary())})
 
 
-def fit_weights(rows: list[tuple[int, int, int, float]], steps: int = 50) -> dict[int, tuple[float, float, float]]:
+def _merged(key: tuple, t: pa.Table) -> pa.Table:
+    """Histograms of one context bucket added up, one after another."""
+    total = np.zeros(BINS**2, np.int64)
+    for codes, counts in zip(t["codes"], t["counts"], strict=True):
+        total[Q.unpack(codes.as_py())] += Q.unpack(counts.as_py())
+    return _histogram(0, {key[-1].as_py(): total})
+
+
+def fit_weights(rows: np.ndarray | list[tuple[int, int, int, float]], steps: int = 50) -> dict[int, tuple[float, float, float]]:
     """Mixture weights (bigram, word, uniform) by context bucket from (bucket, bins, bins, count)."""
     out = {}
     data = np.array(rows, float).reshape(-1, 4)
@@ -110,7 +120,7 @@ def score(docs: DataFrame, train: str = "train", stage: Stage | None = None) ->
     stage = stage or Stage(spark, "lm")
     n = buckets(spark)
     rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks(spark))).cast("int").alias("block"), "doc_id",
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks(spark))).cast("int").alias("block"), "doc_id",
         F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
@@ -153,18 +163,15 @@ def score(docs: DataFrame, train: str = "train", stage: Stage | None = None) ->
         with np.errstate(divide="ignore", invalid="ignore"):
             two = np.where(left > 0, (both - own[1]) / np.maximum(left, 1), 0.0)
         one = (word - own[0]) / max(1, total)
-        code = ((_bucket(np.maximum(left, 0)) * BINS + _bin(np.maximum(two, 0) / flat)) * BINS + _bin(np.maximum(one, 0) / flat))[learn]
-        return _packed(key[0].as_py(), code, np.ones(len(code), np.int64))
-
-    def merged(key: tuple, t: pa.Table) -> pa.Table:
-        got = [(Q.unpack(a), Q.unpack(b)) for a, b in zip(t["codes"].to_pylist(), t["counts"].to_pylist(), strict=True)]
-        return _packed(key[0].as_py(), np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got]))
+        code, held = (_bin(np.maximum(two, 0) / flat) * BINS + _bin(np.maximum(one, 0) / flat))[learn], _bucket(np.maximum(left, 0))[learn]
+        return _histogram(key[0].as_py(), {int(b): np.bincount(code[held == b], minlength=BINS**2) for b in np.unique(held)})
 
     grouped = rows.groupBy("block").cogroup(told.groupBy("block"))
-    # blocks' histograms are merged in as many groups as each has members; the driver merges the groups', of bounded size
-    slot = F.pmod("block", F.lit(math.isqrt(blocks(spark)) + 1)).alias("slot")
-    hist = grouped.applyInArrow(histogram, HISTOGRAM).groupBy(slot).applyInArrow(merged, HISTOGRAM).collect()
-    weights = fit_weights([(c // BINS**2, c // BINS % BINS, c % BINS, x) for r in hist for c, x in zip(Q.unpack(bytes(r.codes)), Q.unpack(bytes(r.counts)), strict=True)])
+    # blocks' histograms are merged in as many piles as each has members; then one row a context bucket (at most 65) reaches the driver
+    pile = F.pmod("slot", F.lit(math.isqrt(blocks(spark)) + 1)).alias("pile")
+    hist = grouped.applyInArrow(histogram, HISTOGRAM).groupBy(pile, "bucket").applyInArrow(_merged, HISTOGRAM).groupBy("bucket").applyInArrow(_merged, HISTOGRAM).collect()
+    bins = [(r.bucket, Q.unpack(bytes(r.codes)), Q.unpack(bytes(r.counts))) for r in hist]
+    weights = fit_weights(np.concatenate([np.zeros((0, 4)), *(np.stack([np.full(len(c), b), c // BINS, c % BINS, x], 1) for b, c, x in bins)]))
     table = np.array([weights.get(b, (0.0, 0.5, 0.5)) for b in range(66)])
 
     def scored(key: tuple, t: pa.Table, r: pa.Table) -> pa.Table:

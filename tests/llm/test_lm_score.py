@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -40,6 +41,34 @@ def test_model_is_a_mixture_and_em_recovers_weights():
     assert math.isclose(sum(w), 1) and w[0] > 0.5 and w[1] < 0.01
 
 
+def test_score_by_plain_interpolation(make_docs):
+    """The model's score from plain dictionaries: bigram, word and uniform shares, EM over deleted counts in the same bins."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("aaaabbbccd") + rnd.choice("xy") for _ in range(rnd.randrange(0, 40)))) for i in range(120)]
+    rows.append((500, rows[3][1]))
+    train = {d for d, _ in rows if d % 5}
+    tok = {d: [*WORDS.findall(lower(t)), None] for d, t in rows}
+    pairs = {d: list(zip([None, *t[:-1]], t)) for d, t in tok.items()}
+    word, two = Counter(x for d in train for x in tok[d]), Counter(x for d in train for x in pairs[d])
+    n, flat = sum(word.values()), 1 / (len(word) + 1)
+    bins = Counter()
+    bucket = lambda c: int(math.log2(c)) + 1 if c > 0 else 0
+    one_bin = lambda x: int(lm_score._bin(lm_score.np.array([x]))[0])
+    for d in train:
+        own, own2 = Counter(tok[d]), Counter(pairs[d])
+        for a, b in pairs[d]:
+            left = word[a] - own[a]
+            bins[bucket(left), one_bin((two[a, b] - own2[a, b]) / left / flat if left else 0.0), one_bin((word[b] - own[b]) / n / flat)] += 1
+    weights = lm_score.fit_weights([(*k, c) for k, c in bins.items()])
+    got = lm_score.score(make_docs(rows).withColumn("train", F.col("doc_id") % 5 != 0)).collect()
+    for r in got:
+        want = 0.0
+        for a, b in pairs[r.doc_id]:
+            w = weights.get(bucket(word[a]), (0.0, 0.5, 0.5))
+            want += math.log10(w[0] * (two[a, b] / word[a] if word[a] else 0.0) + w[1] * word[b] / n + w[2] * flat)
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
 def test_odd_rows(make_docs):
     docs = make_docs(ODD).withColumn("train", F.col("doc_id") != 5)
     got = lm_score.score(docs).collect()

@@ -75,6 +75,16 @@ def test_tree_finds_all_within_the_bound():
         assert sorted(tree.search(pts[i], sizes[i])) == list(np.flatnonzero(bound >= ngram_join.needed(sizes, sizes[i], 75)))
 
 
+def test_documents_of_several_texts_pool_their_links(make_docs):
+    a, b, c = ("one two three four five six seven", "un deux trois quatre cinq six sept", "eins zwei drei vier fuenf sechs")
+    rows = [(3, a), (7, a), (5, b), (7, b), (9, c), (9, None), (2, ""), (9, b + " huit"), (11, c), (None, a)]
+    want = brute(rows)
+    assert {x for _, _, x in want} == {3, 2, 9, None}
+    assert sorted((tuple(r) for r in ngram_join.join(make_docs(rows)).collect()), key=str) == want
+    spread = [(100 + i % 7, f"p{i} q{i} r{i} s{i} t{i} u{i}") for i in range(30)] + [(200 + i, f"p{i} q{i} r{i} s{i} t{i} u{i}") for i in range(30)]
+    assert sorted((tuple(r) for r in ngram_join.join(make_docs(spread)).collect()), key=str) == brute(spread)
+
+
 def test_empty(make_docs):
     assert ngram_join.join(make_docs([])).count() == 0
 

@@ -53,3 +53,19 @@ def test_odd_rows_and_empty_table(make_docs, spark):
                 assert nxt.schema.names == docs.schema.names
             table = nxt
         table.count()
+
+
+def test_columns_that_clash_are_carried_through(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    own = lambda x: " ".join(f"{x} the{i} house" for i in range(15))
+    rows = [(1, f"{own('a')} {long}", "en"), (2, f"{long} {own('and')}", "en"), (3, "the quick brown fox and the lazy dog are here", "en"), (3, "the quick brown fox and the lazy dog are here", "en")]
+    names = ["score", "lang_pred", "told", "kept", "found", "_k", "_m", "_n", "_gone", "_kept", "kept_id", "k", "m", "comp", "block", "a.b"]
+    docs = spark.createDataFrame([(*r, "s", len(r[1]), *(f"{c}{r[0]}" for c in names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    table = docs
+    for _, step in P.STAGES[:3]:
+        table = step(spark, table, "")
+        assert table.schema.names == docs.schema.names
+        got = table.collect()
+        assert {r.doc_id for r in got} == {1, 2, 3} and all(r[5:] == tuple(f"{c}{r.doc_id}" for c in names) for r in got)
+    assert {r.doc_id: len(r.text.split()) for r in got}[2] == 45
+    assert P.packed(spark, table, "").count() >= 3
