@@ -85,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op2_ngram_join": oracles.NGRAM_JOIN, "op3_substring_dedup": oracles.SUBSTRING_DEDUP}
+ORACLES: dict[str, str] = {"op2_ngram_join": oracles.NGRAM_JOIN, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op8_byte_dedup": oracles.BYTE_DEDUP}
