@@ -19,7 +19,8 @@ size, and the production parameters are set for such tables.
 
 Cases: vectors that are null, zero, of another length than the table's (the most frequent in
 the sample) or that hold null or non-finite components take no part; a null vec_id takes no
-part; rows of one vec_id and vector are one candidate; ties go to the smaller vec_id; an empty
+part; rows of one vec_id and vector are one candidate (vec_id is
+taken to be unique: of several vectors under one id any one may be kept); extra columns are ignored; ties go to the smaller vec_id; an empty
 table returns no rows.
 """
 

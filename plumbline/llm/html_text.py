@@ -7,7 +7,7 @@ LSTM in numpy reads a page's blocks in order and labels each as main text or not
 every label depends on the whole page.
 
 The labeller is trained on the driver by `train` on generated pages of many layouts, whose
-labels are known (bounded: ``PAGES`` pages, a few seconds); its weights are broadcast and
+labels are known (bounded: ``PAGES`` pages, some 20 seconds); its weights are broadcast and
 pages are labelled where they lie, without a shuffle.
 
 White space is what Python's str.split takes as such; a line break tag counts as white space.
@@ -17,7 +17,7 @@ Cases: null or empty html, and pages without main text, give an empty text; uncl
 with their parent, an unclosed head at the first element or text that cannot stand in it, an
 unclosed drawing or formula at the first element of a page; a tag with a quote left open ends
 at its first >; a very long page is read whole; rows with null ids are kept; repeated rows
-each return a row; an empty table returns no rows.
+each return a row; extra columns are ignored; an empty table returns no rows.
 """
 
 from __future__ import annotations

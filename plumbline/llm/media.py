@@ -13,7 +13,8 @@ Files are kept per distinct text and compressed before the shuffle that folds co
 join the results by the text's digest, so a popular text or chunk makes no large group.
 
 Cases: null text is the empty payload (padding alone); equal texts have equal values; repeated
-rows each return a row; an empty table returns no rows. A file that does not match its digest
+rows each return a row; a very long text is one payload, cut like any other; extra columns are
+ignored; an empty table returns no rows. A file that does not match its digest
 raises an error.
 """
 

@@ -11,8 +11,9 @@ place in its sorted partition and the totals of the partitions before it. The to
 joined to the places afterwards.
 
 Cases: null text is empty and has the closing id alone; a null doc_id is packed like any
-other (first on the curve among its ties); repeated rows are packed each on its own; an empty
-table returns no rows.
+other (first on the curve among its ties); repeated rows are packed each on its own; a very
+long text is cut into as many pieces as it needs; extra columns are ignored; an empty table
+returns no rows.
 """
 
 from __future__ import annotations
