@@ -2,8 +2,8 @@
 
 A payload becomes a media file: a binary grey-map (a short header and 8-bit samples, WIDTH to
 a line). A rolling gear hash cuts the file into chunks at places that its own bytes decide.
-Chunks are named by digest. A first pass over digests alone finds those that more than one
-place holds and gives each an owner. The store has one row per distinct file, its ordered
+Chunks are named by digest. A first pass writes where each digest stands; from that table
+alone come the digests that more than one place holds, and each one's owner. The store has one row per distinct file, its ordered
 chunk list: the bytes of chunks that no other place holds stand in it, shared chunks are
 references, and their owner's row lends the bytes, once. Reading joins the references with
 the lent chunks, puts each file together again and verifies its digest; files without
@@ -119,18 +119,21 @@ def _files(chunks: bool):
 def store(docs: DataFrame, stage: Stage) -> DataFrame:
     """The store: k, n_bytes, media_sha256, own (chunks, null where shared), refs (place, digest), lent (digest, chunk)."""
     texts = keyed(docs).select("k", "text")
-    place = texts.mapInArrow(_files(False), FILE).select("k", F.posexplode("digests").alias("place", "digest")).distinct()
+    place = stage.table("places", texts.mapInArrow(_files(False), FILE).select("k", F.posexplode("digests").alias("place", "digest")).distinct())
     at = F.struct("k", "place")
     shared = place.groupBy("digest").agg(F.min(at).alias("owner"), F.max(at).alias("last")).filter("owner != last").select("digest", "owner")
     marks = place.join(shared, "digest").groupBy("k").agg(F.collect_list(F.struct("place", "digest", (F.col("owner") == at).alias("lends"))).alias("marks"))
     marks = stage.table("marks", marks)
+    stage.drop("places")
     file = F.first(F.struct("n_bytes", "media_sha256", "parts")).alias("file")
     files = texts.mapInArrow(_files(True), FILE).groupBy("k").agg(file).join(marks, "k", "left").select("k", "file.*", "marks")
     own = F.when(F.col("marks").isNull(), F.col("parts")).otherwise(
         F.transform("parts", lambda x, i: F.when(~F.exists("marks", lambda m: m["place"] == i), x)))
     lent = F.transform(F.filter("marks", lambda m: m["lends"]), lambda m: F.struct(m["digest"].alias("digest"), F.element_at("parts", m["place"] + 1).alias("chunk")))
     refs = F.transform("marks", lambda m: F.struct(m["place"].alias("place"), m["digest"].alias("digest")))
-    return stage.table("files", files.select("k", "n_bytes", "media_sha256", own.alias("own"), refs.alias("refs"), lent.alias("lent")))
+    files = stage.table("files", files.select("k", "n_bytes", "media_sha256", own.alias("own"), refs.alias("refs"), lent.alias("lent")))
+    stage.drop("marks")
+    return files
 
 
 def feature(samples: np.ndarray) -> str:
